@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import secrets, simhash
 from .shared import table
 
 
@@ -16,9 +16,27 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.labelled_samples(spark))
+    found = secrets.scan(table(spark, sf_dir, "documents"), model)
+    counts = [F.size(F.filter(F.transform("base", lambda s: s["kind"]), _is(k))).cast("long").alias(f"n_{k}") for k, *_ in secrets.BASE]
+    both = F.array_sort(F.concat(F.transform("base", lambda s: _ranked(s)), F.transform("added", lambda s: _ranked(s))))
+    return found.select("doc_id", *counts, F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"), secrets.written(both).alias("spans"))
+
+
+def _is(value):
+    return lambda x: x == value
+
+
+def _ranked(span):
+    rank = F.when(span["kind"] == "assign", 0).when(span["kind"] == "access", 1).when(span["kind"] == "hex", 2).otherwise(3)
+    return F.struct(span["start"].alias("start"), rank.alias("k"), span["end"].alias("end"), span["kind"].alias("kind"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_simhash": op7_simhash,
+        "op10_secrets": op10_secrets,
     }
 
 
