@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, simhash, urlrep
+from . import packing, secrets, simhash, urlrep
 from .shared import table
 
 
@@ -95,10 +95,21 @@ FROM ruled
 """
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_url_reputation": op4_url_reputation,
         "op7_simhash": op7_simhash,
+        "op8_packing": op8_packing,
         "op10_secrets": op10_secrets,
     }
 
