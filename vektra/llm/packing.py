@@ -9,7 +9,7 @@ sequences of a power of two, which need no padding either.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 
 import numpy as np
@@ -19,57 +19,59 @@ from pyspark.sql import functions as F
 
 CAPACITY = 1024
 END_ID = 0
-#: Words whose ids a worker keeps. A full store is emptied; the result does not depend on it.
-KEPT_WORDS = 400_000
-#: Characters that a worker tokenises at a time, if a single text is not longer.
+#: Characters whose pieces a task gives on at a time, if a single text is not longer.
 SLICE = 4_000_000
 
-#: A plain space between printable ASCII characters always ends a pre-token, so texts may be parted there.
-_SAFE = re.compile(r"(?<=[!-~]) (?=[!-~])")
-_ODD_SPACE = re.compile("[\u0085   -     　]")
+#: Fixed value: the pattern by which byte-level pre-tokenisers part a text.
+PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class WordCache:
-    """Token ids of whole texts, from the ids of their words.
+def _byte_letters() -> dict[str, int]:
+    """The letter that byte-level vocabularies write for each byte: printable Latin-1 for itself, others from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = (b for b in range(256) if b not in printable)
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    The pre-tokeniser starts a new pre-token at a space that stands alone between two
-    words, and merges never cross pre-tokens, so the ids of a text are those of its
-    parts. Words not met before go to the library in one batch.
+
+class Encoder:
+    """Token ids of whole texts by a file of the tokenizers library.
+
+    Where the file is a plain byte-level BPE whose ids follow its merges, its own
+    vocabulary is handed to the faster BPE of tiktoken, which gives the same ids.
+    Texts that hold a special token, that the fast path refuses, and all texts of
+    other files go through the tokenizers library itself.
     """
 
-    def __init__(self, path: str, kept: int = KEPT_WORDS):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.ids = Tokenizer.from_file(path), kept, {}
-
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        plain = not ("  " in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"))
-        if plain and (text.isascii() or not _ODD_SPACE.search(text)):
-            return text.split(" ")
-        return _SAFE.split(text)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.parts(t) for t in texts]
-        if len(self.ids) > self.kept:
-            self.ids.clear()
-        known = self.ids
-        fresh = self._fresh(split)
-        for word, got in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            known[word] = np.array(got.ids, "<u4").tobytes()
-        out = []
-        for p in split:
-            first = known[p[0]]
-            out.append(np.frombuffer(first + b"".join([known[" " + w] for w in p[1:]]), "<u4"))
-        return out
-
-    def _fresh(self, split: list[list[str]]) -> list[str]:
-        words: set[str] = set()
-        firsts = set()
-        for p in split:
-            firsts.add(p[0])
-            words.update(p[1:])
-        return [w for w in firsts | {" " + w for w in words} if w not in self.ids]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = self._ranks(json.loads(self.tokenizer.to_str()))
+
+    def _ranks(self, spec: dict):
+        model, pre = spec["model"], spec["pre_tokenizer"] or {}
+        byte_level = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        odd = model.get("dropout") or model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("byte_fallback") or model.get("ignore_merges")
+        if model["type"] != "BPE" or not byte_level or odd:
+            return None
+        merged = ["".join(m) if not isinstance(m, str) else m.replace(" ", "") for m in model["merges"]]
+        ids = [model["vocab"].get(m, -1) for m in merged]
+        if ids != sorted(set(ids)):
+            return None
+        import tiktoken
+
+        letters = _byte_letters()
+        ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in self.special}
+        return tiktoken.Encoding("own", pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast is not None and not any(s in text for s in self.special):
+            try:
+                return np.array(self.fast.encode_ordinary(text), "<u4")
+            except Exception:  # e.g. a run of white space beyond the pattern engine's limit
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def cut_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -108,26 +110,24 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         from pyspark import TaskContext
 
-        cache, end = WordCache(tokenizer), np.array([end_id], "<u4")
+        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4")
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 40
         waiting: dict[int, list[tuple]] = {}  # pieces of classes whose bin is not full
 
-        def rows(texts, doc_ids, sequence):
-            out = []
-            for doc, ids in zip(doc_ids, cache.encode(texts)):
-                ids = np.concatenate([ids, end])
-                at = 0
-                for size in cut_lengths(len(ids), capacity):
-                    piece = ids[at : at + size]
-                    bin_ = waiting.setdefault(size, [])
-                    bin_.append((doc, at, size, zlib.crc32(piece.tobytes()), len(ids), *([piece] if with_ids else ())))
-                    at += size
-                    if len(bin_) * size == capacity:
-                        out += [(*p[:5], sequence, i * size, *p[5:]) for i, p in enumerate(bin_)]
-                        bin_.clear()
-                        sequence += 1
-            return out, sequence
+        def rows(doc, text, out, sequence):
+            ids = np.concatenate([encoder.encode(text), end])
+            at = 0
+            for size in cut_lengths(len(ids), capacity):
+                piece = ids[at : at + size]
+                bin_ = waiting.setdefault(size, [])
+                bin_.append((doc, at, size, zlib.crc32(piece.tobytes()), len(ids), *([piece] if with_ids else ())))
+                at += size
+                if len(bin_) * size == capacity:
+                    out += [(*p[:5], sequence, i * size, *p[5:]) for i, p in enumerate(bin_)]
+                    bin_.clear()
+                    sequence += 1
+            return sequence
 
         def batch(out):
             columns = list(zip(*out))
@@ -135,17 +135,16 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for got in batches:
-            doc_ids, texts = got.column(0).to_pylist(), got.column(1)
-            at = 0
-            while at < len(doc_ids):
-                part, size = [], 0
-                while at + len(part) < len(doc_ids) and (not part or size < SLICE):
-                    part.append(texts[at + len(part)].as_py() or "")
-                    size += len(part[-1])
-                out, sequence = rows(part, doc_ids[at : at + len(part)], sequence)
-                at += len(part)
-                if out:
+            out, size = [], 0
+            for doc, text in zip(got.column(0).to_pylist(), got.column(1)):
+                text = text.as_py() or ""
+                sequence = rows(doc, text, out, sequence)
+                size += len(text)
+                if size >= SLICE and out:
                     yield batch(out)
+                    out, size = [], 0
+            if out:
+                yield batch(out)
         out = []
         for size, bin_ in sorted(waiting.items(), reverse=True):
             while bin_:
