@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secrets, simhash, urlrep
-from .shared import table
+from . import packing, quality, secrets, simhash, toxicity, urlrep
+from .shared import held_out, table
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,9 +105,25 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def _classified(module, label: str, threshold: float):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = table(spark, sf_dir, "documents")
+        model = module.train(docs, table(spark, sf_dir, "labels"), label)
+        found = module.classify(docs, model, threshold=threshold)
+        return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+    return run
+
+
+op3_toxicity = _classified(toxicity, "toxic", 0.3)
+op6_quality = _classified(quality, "quality", 0.7)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_toxicity": op3_toxicity,
         "op4_url_reputation": op4_url_reputation,
+        "op6_quality": op6_quality,
         "op7_simhash": op7_simhash,
         "op8_packing": op8_packing,
         "op10_secrets": op10_secrets,
