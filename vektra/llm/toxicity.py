@@ -168,7 +168,7 @@ class _Adam:
             p[k] -= fix * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
 
 
-def fit(texts: list[str], y: np.ndarray, steps: int = 400, each: int = 8, batch: int = 512, rate: float = 0.02, drop: float = 0.5, decay: float = 2e-4, seed: int = 7) -> dict:
+def fit(texts: list[str], y: np.ndarray, steps: int = 250, each: int = 8, batch: int = 512, rate: float = 0.02, drop: float = 0.5, decay: float = 2e-4, seed: int = 7) -> dict:
     """Parameters from labelled texts, by back-propagation through time.
 
     A document's label is that of its worst window. The first two epochs take windows
@@ -228,8 +228,9 @@ def fit(texts: list[str], y: np.ndarray, steps: int = 400, each: int = 8, batch:
             idx, target = windows[rows].T, y[owner[rows]].astype(np.float32)
             used, inverse = np.unique(idx, return_inverse=True)
             inverse = inverse.reshape(idx.shape)
-            spans = [np.arange(feats[2][u], feats[2][u] + count[u]) for u in used.tolist()]
-            mine = (feats[0][used], feats[1][np.concatenate(spans)], np.concatenate([[0], np.cumsum(count[used])[:-1]]))
+            begin = np.concatenate([[0], np.cumsum(count[used])[:-1]])
+            spans = np.repeat(feats[2][used] - begin, count[used]) + np.arange(count[used].sum())
+            mine = (feats[0][used], feats[1][spans], begin)
             x = embed(p, mine)
             seen = (rng.random((len(used), 1)) >= drop).astype(np.float32) / (1 - drop)
             x[:, :EMBED] *= seen
