@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, secrets, simhash, toxicity, urlrep
+from . import packing, pii, quality, secrets, simhash, toxicity, urlrep
 from .shared import held_out, table
 
 
@@ -119,8 +119,19 @@ op3_toxicity = _classified(toxicity, "toxic", 0.3)
 op6_quality = _classified(quality, "quality", 0.7)
 
 
+#: The key of the query's pseudonyms; a real run passes its own.
+KEY = "vektra"
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY, found_col="found")
+    counts = [F.size(F.filter("found", _is(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", "text", *counts)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pii": op2_pii,
         "op3_toxicity": op3_toxicity,
         "op4_url_reputation": op4_url_reputation,
         "op6_quality": op6_quality,
