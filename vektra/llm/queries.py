@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality, secrets, simhash, toxicity, urlrep
+import corpus_pipeline
+
+from . import ann, caps, packing, pii, quality, secrets, simhash, toxicity, urlrep
 from .shared import held_out, table
 
 
@@ -129,15 +131,31 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", *counts)
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+def op5_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann": op1_ann,
         "op2_pii": op2_pii,
         "op3_toxicity": op3_toxicity,
         "op4_url_reputation": op4_url_reputation,
+        "op5_caps": op5_caps,
         "op6_quality": op6_quality,
         "op7_simhash": op7_simhash,
         "op8_packing": op8_packing,
         "op10_secrets": op10_secrets,
+        "pipeline": pipeline,
     }
 
 

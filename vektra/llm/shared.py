@@ -80,3 +80,57 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.col("m").alias("component")).union(edges.select("v", "v").distinct())
+
+
+def whole_groups(batches, keys: int):
+    """Arrow tables of whole groups, from batches that are sorted by their first ``keys`` columns.
+
+    Holds one batch and the rows of its last group, which the next batch may continue;
+    callers bound the rows of a group.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        got = pa.Table.from_batches([batch])
+        got = got if held is None else pa.concat_tables([held, got])
+        last = np.ones(got.num_rows, bool)
+        for i in range(keys):
+            column = got.column(i).to_numpy()
+            last &= column == column[-1]
+        cut = got.num_rows - int(np.argmin(np.append(last[::-1], False)))
+        if cut:
+            yield got.slice(0, cut).combine_chunks()
+        held = got.slice(cut)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def group_bounds(table, keys: int):
+    """Where the groups of a sorted table begin, and its end."""
+    import numpy as np
+
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for i in range(keys):
+        column = table.column(i).to_numpy()
+        new[1:] |= column[1:] != column[:-1]
+    return np.append(np.flatnonzero(new), table.num_rows)
+
+
+def matrix(column, rows: int):
+    """A (rows, length) double array of a list column whose lists have one length."""
+    import numpy as np
+
+    flat = column.combine_chunks().flatten() if hasattr(column, "combine_chunks") else column.flatten()
+    return np.asarray(flat, np.float64).reshape(rows, -1)
+
+
+def usable(vector: Column, dim: Column | int | None = None) -> Column:
+    """Whether a vector has a direction: not null, of finite non-null components, not all zero."""
+    v = F.transform(vector, lambda x: x.cast("double"))
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    return F.coalesce(fine, F.lit(False))

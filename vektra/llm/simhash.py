@@ -57,15 +57,15 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """``(doc_id, fp)``, one row per row of ``docs``; ``fp`` is the signed form of the fingerprint."""
+    """``(doc_id, fp, hash)``, one row per row of ``docs``; ``fp`` is the signed form of the fingerprint, ``hash`` one of the text as it is."""
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "hash"])
 
-    mine = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return mine.mapInArrow(run, "doc_id long, fp long")
+    mine = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
+    return mine.mapInArrow(run, "doc_id long, fp long, hash long")
 
 
 def embed(fp: np.ndarray) -> np.ndarray:
@@ -226,8 +226,8 @@ def _forest_pairs(fp, node, split, radius):
     return np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = RADIUS, groups: int = GROUPS, chunk: int = CHUNK) -> DataFrame:
-    """``(doc_id, fp, component_id)``, one row per row of ``docs``.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = RADIUS, groups: int = GROUPS, chunk: int = CHUNK, keep_hash: bool = False) -> DataFrame:
+    """``(doc_id, fp, component_id)`` (and ``hash`` of the text if asked for), one row per row of ``docs``.
 
     Documents whose fingerprints differ in at most ``radius`` bits are linked;
     ``component_id`` is the smallest id that links reach. Equal fingerprints meet in
@@ -241,4 +241,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = near_links(nodes.where("node is not null"), radius, groups, chunk)
     comp = components(found).withColumnRenamed("component", "_c")
     named = nodes.join(comp, "node", "left").select(F.col("fp").alias("_fp"), F.coalesce("_c", "node").alias("component_id"))
-    return prints.join(named, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
+    return prints.join(named, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id", *["hash"] * keep_hash)
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that near-duplicate removal leaves, with all their columns.
+
+    Of each group the row with the smallest id stays. Where an id repeats, or is null,
+    rows are told apart by a hash of their text too: of rows with one id the one whose
+    text hashes smallest stays, of equal rows any one. Rows with null ids are grouped
+    by equal fingerprints only. Texts are shuffled once, for the join back.
+    """
+    named = docs.withColumn("_row", F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash")))
+    groups = near_duplicates(docs, id_col, text_col, keep_hash=True, **options)
+    alone = F.when(F.col("component_id").isNull(), F.col("fp"))
+    first = groups.groupBy("component_id", alone.alias("_alone")).agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("hash").alias("hash"))).alias("_first"))
+    kept = named.join(first.select("_first").distinct(), F.col("_row").eqNullSafe(F.col("_first")), "left_semi")
+    repeats = groups.groupBy("doc_id", "hash").count().where("count > 1")
+    if not repeats.isEmpty():
+        kept = kept.dropDuplicates(["_row"])
+    return kept.drop("_row")
