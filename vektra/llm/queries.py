@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import ann, caps, packing, pii, quality, secrets, simhash, toxicity, urlrep
+from . import ann, caps, packing, pieces, pii, quality, secrets, simhash, toxicity, urlrep
 from .shared import held_out, table
 
 
@@ -140,6 +140,13 @@ def op5_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as model:
+        return pieces.encode(table(spark, sf_dir, "documents"), model.read())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -154,6 +161,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality": op6_quality,
         "op7_simhash": op7_simhash,
         "op8_packing": op8_packing,
+        "op9_pieces": op9_pieces,
         "op10_secrets": op10_secrets,
         "pipeline": pipeline,
     }
