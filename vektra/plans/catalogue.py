@@ -1,15 +1,608 @@
-"""The engine's queries over the shared tables, with the SQL that checks each."""
+"""The engine's queries over the shared tables, with the SQL that checks each.
+
+Points are the ``embeddings`` scaled by 1 + vec_id % 7, as the metrics rank unit vectors
+alike. A search's queries are the rows whose id is divisible by 50, against all rows.
+Inverted files use the mean vector of each label as centroids and, where SQL checks
+them, a codebook of the first sixteen vectors' parts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scores
+from ..functions.filters import Fields, compile_filter, metadata_filter
+from ..functions.vectors import distance, normalize, scaled
+from ..operators import collection, evaluate, graph, ivf, knn, project3d, sparse, train
+from ..operators.lineage import settle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+K, PARTS, LISTS = 10, 8, 10
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a query under its function's name, with the SQL that it must agree with."""
+
+    def keep(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return keep
+
+
+# Tables as the operators want them, and the same in SQL.
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def points(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    return rows.select(F.col("vec_id").alias("id"), scaled(F.col("embedding"), 1 + F.col("vec_id") % 7).alias("embedding"), "label")
+
+
+def asked(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+def meta(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("tenant"), F.col("n_chars").alias("ts"), F.array("lang").alias("acl"))
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if c in names else F.col(c) for c in df.columns])
+
+
+def result(df: DataFrame) -> DataFrame:
+    return df.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("int").alias("rank"), F.round("distance", 6).alias("distance"))
+
+
+PTS = "pts AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 7)) AS v FROM embeddings), q AS (SELECT id AS query_id, v AS q FROM pts WHERE id % 50 = 0)"
+
+
+def sql_dot(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]))"
+
+
+def sql_l2(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+
+def sql_norm(a: str) -> str:
+    return f"sqrt(list_sum(list_transform({a}, lambda x: x * x)))"
+
+
+SQL_DISTANCE = {
+    "l2": sql_l2("q", "v"),
+    "ip": f"-{sql_dot('q', 'v')}",
+    "cosine": f"1 - {sql_dot('q', 'v')} / ({sql_norm('q')} * {sql_norm('v')} + 1e-8)",
+}
+
+
+def sql_top(source: str, k: int = K, by: str = "distance, id") -> str:
+    return f"SELECT query_id, id AS vec_id, rank::INTEGER AS rank, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {by}) AS rank FROM {source}) WHERE rank <= {k}"
+
+
+def sql_knn(metric: str = "l2", where: str = "TRUE", k: int = K) -> str:
+    return f"WITH {PTS}, d AS (SELECT query_id, id, {SQL_DISTANCE[metric]} AS distance FROM q, pts WHERE {where}) {sql_top('d', k)}"
+
+
+# Exact search.
+
+for _m in ("l2", "cosine", "ip"):
+
+    def _expression(spark, d, m=_m):
+        rows = points(spark, d)
+        return result(knn.knn_expression(rows, asked(rows), K, m))
+
+    def _blocks(spark, d, m=_m):
+        rows = points(spark, d)
+        return result(knn.knn(rows, asked(rows), K, m))
+
+    query(sql_knn(_m), f"knn_exact_{_m}")(_expression)
+    query(sql_knn(_m), f"flat_scan_{_m}")(_blocks)
+
+
+@query(f"WITH {PTS} SELECT query_id, id AS vec_id, round({SQL_DISTANCE['l2']}, 6) AS distance FROM q, pts")
+def distance_matrix(spark, d):
+    rows = points(spark, d)
+    return rounded(knn.pairs(rows, asked(rows)).withColumnRenamed("id", "vec_id"), "distance")
+
+
+@query(f"WITH {PTS}, n AS (SELECT id, v, greatest({sql_norm('v')}, 1e-8) AS n FROM pts) SELECT id AS vec_id, (pos - 1)::INTEGER AS pos, round(v[pos] / n, 6) AS value FROM n, range(1, 65) r(pos)", "normalize")
+def normalize_query(spark, d):
+    return points(spark, d).select(F.col("id").alias("vec_id"), F.posexplode(normalize(F.col("embedding"))).alias("pos", "value")).select("vec_id", "pos", F.round("value", 6).alias("value"))
+
+
+@query(sql_knn("l2", "id IN (SELECT doc_id FROM documents WHERE source IN ('src1', 'src2', 'src3', 'src5') OR (n_chars BETWEEN 800 AND 6000 AND lang IN ('en', 'de')))"))
+def knn_filtered(spark, d):
+    rows = points(spark, d)
+    allowed = meta(spark, d).where(F.col("tenant").isin("src1", "src2", "src3", "src5") | metadata_filter(acl=["en", "de"], since=800, until=6000))
+    return result(knn.knn_expression(rows.join(allowed, "id", "left_semi"), asked(rows), K))
+
+
+@query(sql_knn("cosine", "label <> 3 AND label IS NOT NULL"))
+def store_search_filtered(spark, d):
+    rows = points(spark, d)
+    c = collection.build(rows, "l2")
+    c = collection.replace(c, metric="cosine")
+    return result(collection.search(c, asked(rows), K, {"label": {"$ne": 3, "$exists": True}}))
+
+
+# Filters and id sets.
+
+
+@query("SELECT doc_id AS id FROM documents WHERE source = 'src3' AND lang IN ('en', 'fr') AND n_chars BETWEEN 500 AND 5000", "metadata_filter")
+def metadata_filter_query(spark, d):
+    return meta(spark, d).where(metadata_filter("src3", ["en", "fr"], 500, 5000)).select("id")
+
+
+def payload(spark, d) -> tuple[DataFrame, Fields]:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "n_chars", F.struct("lang", F.length("text").alias("size")).alias("about"), F.array("lang", "source").alias("tags"))
+    marks = table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality", F.when(F.col("toxic") == 1, 1).alias("toxic"), F.lit(True).alias("_labelled"))
+    rows = docs.join(marks, "id", "left").withColumn("_labelled", F.coalesce("_labelled", F.lit(False)))
+    return rows, Fields(rows.schema, {"quality": F.col("_labelled"), "toxic": F.col("_labelled")})
+
+
+_PAYLOAD = "WITH p AS (SELECT d.doc_id AS id, source, n_chars, lang, length(text) AS size, [lang, source] AS tags, l.doc_id IS NOT NULL AS has, quality, CASE WHEN toxic = 1 THEN 1 END AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) SELECT id FROM p WHERE "
+_FILTERS = {
+    "eq": ({"source": "src4", "tags": "en"}, "source = 'src4' AND list_contains(tags, 'en')"),
+    "ne": ({"quality": {"$ne": 1}}, "NOT coalesce(quality = 1, FALSE)"),
+    "in": ({"about.lang": {"$in": ["de", "fr"]}}, "lang IN ('de', 'fr')"),
+    "nin": ({"quality": {"$nin": [0, 2]}}, "NOT coalesce(quality IN (0, 2), FALSE)"),
+    "range": ({"n_chars": {"$gt": 1000, "$lte": 2500}, "about.size": {"$gte": 1001, "$lt": 2400}}, "n_chars > 1000 AND n_chars <= 2500 AND size >= 1001 AND size < 2400"),
+    "exists": ({"quality": {"$exists": True}}, "has"),
+    "null": ({"toxic": {"$null": True}}, "has AND toxic IS NULL"),
+    "empty": ({"quality": {"$empty": True}}, "quality IS NULL"),
+    "contains": ({"source": {"$contains": "c1"}, "tags": {"$contains": "es"}}, "contains(source, 'c1') AND list_contains(tags, 'es')"),
+    "all": ({"tags": {"$all": ["en", "src2"]}}, "list_contains(tags, 'en') AND list_contains(tags, 'src2')"),
+    "and": ({"$and": [{"n_chars": {"$gt": 700}}, {"quality": 1}]}, "n_chars > 700 AND coalesce(quality = 1, FALSE)"),
+    "or": ({"$or": [{"toxic": 1}, {"about.lang": "es"}]}, "coalesce(toxic = 1, FALSE) OR lang = 'es'"),
+    "not": ({"$not": [{"about.lang": "en"}, {"quality": 1}]}, "NOT (lang = 'en' AND coalesce(quality = 1, FALSE))"),
+    "nor": ({"$nor": [{"about.lang": "en"}, {"quality": 1}]}, "NOT (lang = 'en' OR coalesce(quality = 1, FALSE))"),
+    "id": ({"$id": {"$in": [3, 5, 8, 13, 999_999]}}, "id IN (3, 5, 8, 13, 999999)"),
+    "missing": ({"nowhere": {"$ne": 1}, "source": {"$gt": "src5"}}, "source > 'src5'"),
+}
+for _n, (_spec, _where) in _FILTERS.items():
+
+    def _filtered(spark, d, spec=_spec):
+        rows, fields = payload(spark, d)
+        return rows.where(compile_filter(spec, fields)).select("id")
+
+    query(_PAYLOAD + _where, f"payload_filter_{_n}")(_filtered)
+
+
+@query("SELECT event_id AS id FROM events WHERE (props->>'$.k')::DOUBLE >= 50")
+def payload_filter_variant(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), F.parse_json("props").alias("props"))
+    return rows.where(compile_filter({"props.k": {"$gte": 50}}, Fields(rows.schema))).select("id")
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE label = 3 UNION SELECT doc_id FROM documents WHERE lang = 'de'")
+def bitset_union(spark, d):
+    return points(spark, d).where("label = 3").select("id").union(meta(spark, d).where(metadata_filter(acl=["de"])).select("id")).distinct()
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE label < 5 INTERSECT SELECT doc_id FROM documents WHERE lang = 'en'")
+def bitset_intersect(spark, d):
+    return points(spark, d).where("label < 5").select("id").intersect(meta(spark, d).where(metadata_filter(acl=["en"])).select("id"))
+
+
+@query("SELECT user_id % 10 AS grp, count(DISTINCT user_id) AS users FROM events GROUP BY user_id % 10")
+def bitset_cardinality(spark, d):
+    """Distinct counts by bitmaps: one bitmap for each bucket of ids, joined by OR."""
+    rows = table(spark, d, "events").select((F.col("user_id") % 10).alias("grp"), "user_id")
+    maps = rows.groupBy("grp", F.bitmap_bucket_number("user_id").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("user_id")).alias("m"))
+    return maps.groupBy("grp").agg(F.sum(F.bitmap_count("m")).alias("users"))
+
+
+# Collections.
+
+_LIVE = "SELECT vec_id AS id FROM embeddings WHERE vec_id % 10 <> 3"
+
+
+def state(spark, d) -> collection.Collection:
+    """Main: ids under 400; delta: the rest; tombstones: ids that end in 3."""
+    rows = points(spark, d).withColumn("seq", F.col("id"))
+    return collection.Collection(rows.where("id < 400"), rows.where("id >= 400"), rows.where("id % 10 = 3").select("id"), 1 << 40, 1 << 40)
+
+
+@query(_LIVE)
+def delete_antijoin(spark, d):
+    c = state(spark, d)
+    dead, _ = collection.delete(collection.replace(c, tombstones=c.tombstones.limit(0)), spec={"$id": {"$in": []}, "$not": {"label": {"$exists": True}}})
+    ids = points(spark, d).where("id % 10 = 3").select("id").union(spark.range(10**7, 10**7 + 3))
+    return collection.delete(dead, ids)[0].live().select("id")
+
+
+@query(sql_knn("l2", "id % 10 <> 3"))
+def delta_merge(spark, d):
+    c = state(spark, d)
+    rows = points(spark, d)
+    return result(collection.search(c, asked(rows), K))
+
+
+@query(_LIVE)
+def compact_live(spark, d):
+    return collection.compact(state(spark, d)).main.select("id")
+
+
+@query("SELECT user_id AS id, arg_max(event_id, event_id) AS seq, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def upsert_latest(spark, d):
+    return collection.latest(table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "value"))
+
+
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 6 = 0 THEN 77 ELSE label END::INTEGER AS label FROM embeddings WHERE vec_id % 10 <> 3")
+def set_payload(spark, d):
+    c = state(spark, d)
+    return collection.set_payload(c, points(spark, d).where("id % 6 = 0").select("id"), {"label": 77}).live().select("id", F.col("label").cast("int").alias("label"))
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE vec_id % 10 <> 3 AND vec_id >= 101 ORDER BY vec_id LIMIT 20")
+def scroll_page(spark, d):
+    return collection.scroll(state(spark, d).live(), 20, 101)[0].select("id")
+
+
+@query("SELECT pos, i.id, label::INTEGER AS label FROM (VALUES (0, 7), (1, 3), (2, 450), (3, 99999999), (4, 0)) i(pos, id) LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 10 <> 3) ON vec_id = i.id")
+def get_by_ids(spark, d):
+    ids = spark.createDataFrame([(0, 7), (1, 3), (2, 450), (3, 99999999), (4, 0)], "pos int, id int")
+    return collection.get(state(spark, d), ids.withColumn("id", F.col("id").cast("long"))).select("pos", F.col("id").cast("int").alias("id"), F.col("label").cast("int").alias("label"))
+
+
+@query("SELECT count(*) AS n FROM embeddings WHERE vec_id % 10 <> 3 AND label IN (1, 2)")
+def count_filtered(spark, d):
+    return state(spark, d).where({"label": {"$in": [1, 2]}}).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT (SELECT max(vec_id) FROM embeddings) + row_number() OVER (ORDER BY vec_id) AS id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings WHERE label = 4")
+def add_vectors(spark, d):
+    rows = table(spark, d, "embeddings").orderBy("vec_id")
+    c = collection.build(rows.select(F.col("vec_id").alias("id"), "embedding"))
+    more = rows.where("label = 4").orderBy("vec_id").select("embedding")
+    return collection.add(c, more).delta.select("id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+# Sparse, fused and hybrid search.
+
+_WORDS = "SELECT {id} AS {out}, term, count(*)::DOUBLE AS {w} FROM (SELECT {id}, unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS term FROM {t}) WHERE term <> '' GROUP BY {id}, term"
+_SPARSE = f"m AS ({_WORDS.format(id='doc_id', out='id', w='weight', t='documents')}), b AS ({_WORDS.format(id='item_id', out='query_id', w='qw', t='benchmark')}), dots AS (SELECT query_id, id, sum(weight * qw) AS score FROM m JOIN b USING (term) GROUP BY query_id, id)"
+
+
+def terms(spark, d) -> DataFrame:
+    return sparse.tokens(table(spark, d, "benchmark"), "item_id").withColumnRenamed("id", "query_id")
+
+
+@query(_WORDS.format(id="doc_id", out="id", w="weight", t="documents"))
+def sparse_build(spark, d):
+    return sparse.build_sparse(sparse.tokens(table(spark, d, "documents"), "doc_id"))
+
+
+@query(f"WITH {_SPARSE} SELECT query_id, id, rank::INTEGER AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM dots WHERE score > 0) WHERE rank <= 10")
+def sparse_search(spark, d):
+    return sparse.search_sparse(sparse.tokens(table(spark, d, "documents"), "doc_id"), terms(spark, d), 10)
+
+
+_TERMS = f"t AS ({_WORDS.format(id='doc_id', out='query_id', w='qw', t='documents WHERE doc_id % 50 = 0')})"
+_HYBRID = (
+    f"WITH {PTS}, m AS ({_WORDS.format(id='doc_id', out='id', w='weight', t='documents')}), {_TERMS}, "
+    f"de AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (SELECT query_id, id, {SQL_DISTANCE['l2']} AS distance FROM q, pts)), "
+    "sp AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, sum(weight * qw) AS score FROM m JOIN t USING (term) GROUP BY query_id, id)), "
+    "f AS (SELECT query_id, id, sum(s) AS score FROM (SELECT query_id, id, 1.0::DOUBLE / (60 + rank) AS s FROM de WHERE rank <= 64 UNION ALL SELECT query_id, id, {w} / (60 + rank) FROM sp WHERE rank <= 64) GROUP BY query_id, id) "
+    "SELECT query_id, id, rank::INTEGER AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM f) WHERE rank <= 10"
+)
+
+
+def _document_terms(spark, d):
+    return sparse.tokens(table(spark, d, "documents").where("doc_id % 50 = 0"), "doc_id").withColumnRenamed("id", "query_id")
+
+
+@query(_HYBRID.replace("{w}", "1.0::DOUBLE"))
+def hybrid_exact(spark, d):
+    rows = points(spark, d)
+    found = sparse.hybrid_search(rows, sparse.tokens(table(spark, d, "documents"), "doc_id"), asked(rows), _document_terms(spark, d), K)
+    return rounded(found.withColumn("rank", F.col("rank").cast("int")), "score")
+
+
+@query(_HYBRID.replace("{w}", "0.5::DOUBLE"))
+def rrf_fuse(spark, d):
+    rows = points(spark, d)
+    dense = knn.knn(rows, asked(rows), 64)
+    words = sparse.search_sparse(sparse.tokens(table(spark, d, "documents"), "doc_id"), _document_terms(spark, d), 64)
+    return rounded(sparse.rrf_fuse([(dense, 1.0), (words, 0.5)], K), "score")
+
+
+_SCORES = {
+    "similarity": (scores.similarity, "1 / (1 + l2)", "1 - co", "-ip"),
+    "client": (scores.client_score, "sqrt(greatest(l2, 0))", "1 - co", "-ip"),
+    "relevance": (scores.relevance, "1 - sqrt(greatest(l2, 0)) / sqrt(2)", "1 - co", "-ip"),
+    "retriever": (scores.retriever_score, "greatest(1 - sqrt(greatest(l2, 0)) / sqrt(2), 0)", "least(greatest(1 - co / 2, 0), 1)", "1 / (1 + exp(ip))"),
+}
+for _n, (_f, _a, _b, _c) in _SCORES.items():
+
+    def _scored(spark, d, f=_f):
+        rows = points(spark, d)
+        pair = rows.join(F.broadcast(asked(rows)))
+        metrics = {m: distance(m, F.col("q"), F.col("embedding")) for m in ("l2", "cosine", "ip")}
+        return pair.select("query_id", F.col("id").alias("vec_id"), *[F.round(f(m, x), 6).alias(m) for m, x in metrics.items()])
+
+    query(f"WITH {PTS}, d AS (SELECT query_id, id, {SQL_DISTANCE['l2']} AS l2, {SQL_DISTANCE['cosine']} AS co, {SQL_DISTANCE['ip']} AS ip FROM q, pts) SELECT query_id, id AS vec_id, round({_a}, 6) AS l2, round({_b}, 6) AS cosine, round({_c}, 6) AS ip FROM d", f"score_{_n}")(_scored)
+
+
+@query(f"SELECT query_id, vec_id, rank, distance FROM ({sql_knn('cosine')}) WHERE 1 - distance >= 0.3")
+def score_threshold(spark, d):
+    rows = points(spark, d)
+    found = result(knn.knn_expression(rows, asked(rows), K, "cosine"))
+    return found.where(scores.passes("cosine", scores.client_score("cosine", F.col("distance")), 0.3))
+
+
+# Training and inverted files.
+
+_CENT = "cent AS (SELECT cluster_id, list(x ORDER BY pos) AS c FROM (SELECT label::INTEGER AS cluster_id, pos, avg(v[pos]) AS x FROM pts, range(1, 65) r(pos) GROUP BY label, pos) GROUP BY cluster_id)"
+_ASSIGN = f"assign AS (SELECT id, v, cluster_id, c, dist FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, cluster_id) AS r FROM (SELECT id, v, cluster_id, c, {sql_l2('v', 'c')} AS dist FROM pts, cent)) WHERE r = 1)"
+_RES = "res AS (SELECT id, cluster_id, list_transform(list_zip(v, c), lambda p: p[1] - p[2]) AS r FROM assign)"
+_BOOK = "book AS (SELECT id::INTEGER AS code, (m)::INTEGER AS m, v[m * 8 + 1 : m * 8 + 8] AS w FROM pts, range(0, 8) t(m) WHERE id < 16)"
+_CODES = f"codes AS (SELECT id, cluster_id, m, code, e FROM (SELECT *, row_number() OVER (PARTITION BY id, m ORDER BY e, code) AS k FROM (SELECT id, cluster_id, book.m, code, {sql_l2('r[book.m * 8 + 1 : book.m * 8 + 8]', 'w')} AS e FROM res, book)) WHERE k = 1)"
+_PROBE = f"probe AS (SELECT * FROM (SELECT query_id, q, cluster_id, c, dist, row_number() OVER (PARTITION BY query_id ORDER BY dist, cluster_id) AS probe FROM (SELECT query_id, q, cluster_id, c, {sql_l2('q', 'c')} AS dist FROM q, cent)) WHERE probe <= {{n}})"
+_PARAMS = "params AS (SELECT pos, min(r[pos]) AS low, CASE WHEN max(r[pos]) - min(r[pos]) <= 1e-12 THEN 0 ELSE (max(r[pos]) - min(r[pos])) / 255 END AS scale FROM res, range(1, 65) t(pos) GROUP BY pos)"
+_SQ = "sq AS (SELECT id, cluster_id, list(code ORDER BY pos) AS codes, list(code * scale + low ORDER BY pos) AS back FROM (SELECT id, cluster_id, pos, low, scale, CASE WHEN scale = 0 THEN 0 ELSE least(greatest(round((r[pos] - low) / scale), 0), 255) END::INTEGER AS code FROM res, params) GROUP BY id, cluster_id)"
+_BASE = f"WITH {PTS}, {_CENT}, {_ASSIGN}, {_RES}"
+
+
+class Index:
+    """The fixed inverted file of a directory; parts are computed once."""
+
+    def __init__(self, spark, d):
+        self.points = points(spark, d)
+        self.queries = asked(self.points)
+        self.centroids = settle(train.fixed_centroids(self.points))
+        self.assigned = settle(train.kmeans_assign(self.points, self.centroids))
+        self.residuals = train.residuals(self.points, self.assigned, self.centroids)
+        self.codebook = train.fixed_codebook(self.points, PARTS)
+
+    def codes(self):
+        return settle(train.pq_encode(self.residuals, self.codebook, PARTS))
+
+
+@query(f"WITH {PTS}, {_CENT}, {_PROBE.format(n=3)} SELECT query_id, cluster_id, probe::INTEGER AS probe, round(dist, 6) AS centroid_distance FROM probe")
+def ivf_probe(spark, d):
+    rows = points(spark, d)
+    found = ivf.ivf_probe(asked(rows), train.fixed_centroids(rows), 3)
+    return rounded(found.select("query_id", "cluster_id", "probe", "centroid_distance"), "centroid_distance")
+
+
+@query(f"WITH {PTS}, {_CENT}, {_ASSIGN} SELECT id, cluster_id, round(dist, 6) AS distance FROM assign")
+def kmeans_assign(spark, d):
+    rows = points(spark, d)
+    return rounded(train.kmeans_assign(rows, train.fixed_centroids(rows)), "distance")
+
+
+@query(f"{_BASE} SELECT id, cluster_id, (pos - 1)::INTEGER AS pos, round(r[pos], 6) AS value FROM res, range(1, 65) t(pos)")
+def residuals(spark, d):
+    return Index(spark, d).residuals.select("id", "cluster_id", F.posexplode("residual").alias("pos", "value")).select("id", "cluster_id", "pos", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {PTS}, {_CENT}, {_ASSIGN} SELECT cluster_id, (pos - 1)::INTEGER AS pos, round(avg(v[pos]), 6) AS value FROM assign, range(1, 65) t(pos) GROUP BY cluster_id, pos")
+def kmeans_lloyd_1iter(spark, d):
+    rows = points(spark, d)
+    moved = train.lloyd_step(rows, train.fixed_centroids(rows))
+    return moved.select("cluster_id", F.posexplode("centroid").alias("pos", "value")).select("cluster_id", "pos", F.round("value", 6).alias("value"))
+
+
+@query(f"{_BASE}, {_PARAMS} SELECT (pos - 1)::INTEGER AS pos, round(low, 6) AS low, round(scale, 9) AS scale FROM params")
+def sq8_params(spark, d):
+    return train.sq8_fit(Index(spark, d).residuals).select("pos", F.round("low", 6).alias("low"), F.round("scale", 9).alias("scale"))
+
+
+@query(f"{_BASE}, {_PARAMS}, {_SQ} SELECT id, cluster_id, list_sum(codes)::BIGINT AS total, codes[1] AS first, codes[64] AS last FROM sq")
+def sq8_encode(spark, d):
+    i = Index(spark, d)
+    codes = train.sq8_encode(i.residuals, train.sq8_fit(i.residuals))
+    return codes.select("id", "cluster_id", F.aggregate("codes", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.element_at("codes", 1).alias("first"), F.element_at("codes", 64).alias("last"))
+
+
+@query(f"{_BASE}, {_BOOK}, {_CODES} SELECT id, cluster_id, m, code FROM codes")
+def pq_encode(spark, d):
+    return Index(spark, d).codes()
+
+
+_ADC = f"{_BASE}, {_BOOK}, {_CODES}, {_PROBE.format(n=4)}, adc AS (SELECT query_id, id, sum({sql_l2('qr[codes.m * 8 + 1 : codes.m * 8 + 8]', 'w')}) AS distance FROM (SELECT query_id, cluster_id, list_transform(list_zip(q, c), lambda p: p[1] - p[2]) AS qr FROM probe) p JOIN codes ON codes.cluster_id = p.cluster_id JOIN book ON book.m = codes.m AND book.code = codes.code GROUP BY query_id, id)"
+
+
+@query(f"{_ADC} {sql_top('adc')}")
+def adc_search(spark, d):
+    i = Index(spark, d)
+    return result(ivf.search_pq(i.points, i.queries, i.centroids, i.codes(), i.codebook, PARTS, K, 4, 1))
+
+
+@query(f"{_ADC}, s AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS r FROM adc) WHERE r <= 64), x AS (SELECT s.query_id, s.id, {SQL_DISTANCE['cosine']} AS distance FROM s JOIN q ON q.query_id = s.query_id JOIN pts ON pts.id = s.id) {sql_top('x')}")
+def rerank_exact(spark, d):
+    i = Index(spark, d)
+    return result(ivf.search_pq(i.points, i.queries, i.centroids, i.codes(), i.codebook, PARTS, K, 4, 64, "cosine"))
+
+
+@query(f"{_BASE}, {_PARAMS}, {_SQ}, {_PROBE.format(n=4)}, d AS (SELECT query_id, id, {sql_l2('qr', 'back')} AS distance FROM (SELECT query_id, cluster_id, list_transform(list_zip(q, c), lambda p: p[1] - p[2]) AS qr FROM probe) p JOIN sq ON sq.cluster_id = p.cluster_id) {sql_top('d')}")
+def sq8_search(spark, d):
+    i = Index(spark, d)
+    params = train.sq8_fit(i.residuals)
+    return result(ivf.search_sq8(i.points, i.queries, i.centroids, train.sq8_encode(i.residuals, params), params, K, 4, 1))
+
+
+_TELE = f"{_BASE}, {_PROBE.format(n=4)}, d AS (SELECT query_id, id, cluster_id, {SQL_DISTANCE['l2']} AS distance FROM (SELECT p.query_id, p.q, p.cluster_id, a.id, a.v FROM probe p JOIN assign a ON a.cluster_id = p.cluster_id)), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d), h AS (SELECT query_id, cluster_id, min(distance) AS best, list(id ORDER BY rank) AS ids FROM t WHERE rank <= {K} GROUP BY query_id, cluster_id)"
+
+
+@query(f"{_TELE} SELECT p.query_id, p.probe::INTEGER AS probe, p.cluster_id, round(p.dist, 6) AS centroid_distance, coalesce(n, 0) AS list_len, round(best, 6) AS best_distance, coalesce(list_aggregate(ids, 'string_agg', ','), '') AS result_ids FROM probe p LEFT JOIN h ON h.query_id = p.query_id AND h.cluster_id = p.cluster_id LEFT JOIN (SELECT cluster_id, count(*) AS n FROM assign GROUP BY cluster_id) l ON l.cluster_id = p.cluster_id")
+def probe_telemetry(spark, d):
+    i = Index(spark, d)
+    probes = ivf.ivf_probe(i.queries, i.centroids, 4)
+    members = i.assigned.select("id", "cluster_id").join(probes.select("query_id", "cluster_id"), "cluster_id").select("query_id", "id")
+    found = ivf.rerank_exact(members, i.points, i.queries, K)
+    rows = ivf.probe_telemetry(found, probes, i.assigned).withColumn("result_ids", F.array_join("result_ids", ","))
+    return rounded(rows, "centroid_distance", "best_distance")
+
+
+@query(f"{_BASE}, {_BOOK}, {_CODES}, n AS (SELECT cluster_id, ceil(count(*) / 20.0) AS step FROM res GROUP BY cluster_id), s AS (SELECT id, r.cluster_id, step, row_number() OVER (PARTITION BY r.cluster_id ORDER BY id) - 1 AS place FROM res r JOIN n ON n.cluster_id = r.cluster_id), e AS (SELECT s.id, s.cluster_id, sum(e) AS e FROM s JOIN codes ON codes.id = s.id WHERE place % step = 0 GROUP BY s.id, s.cluster_id), z AS (SELECT e.cluster_id, count(*) AS samples, avg(e / greatest(list_sum(list_transform(v, lambda x: x * x)), 1e-12)) AS distortion FROM e JOIN pts ON pts.id = e.id GROUP BY e.cluster_id) SELECT cent.cluster_id, coalesce(samples, 0) AS samples, round(coalesce(distortion, 0), 6) AS distortion FROM cent LEFT JOIN z ON z.cluster_id = cent.cluster_id")
+def pq_distortion(spark, d):
+    i = Index(spark, d)
+    return rounded(ivf.pq_distortion(i.residuals, i.points, i.codes(), i.codebook, PARTS, i.centroids, 20), "distortion")
+
+
+# With every cell probed and every row reranked, an inverted file is exact search.
+
+
+@query(sql_knn("l2"))
+def ivf_pq_exhaustive(spark, d):
+    i = Index(spark, d)
+    return result(ivf.search_pq(i.points, i.queries, i.centroids, i.codes(), i.codebook, PARTS, K, LISTS, 10_240))
+
+
+@query(sql_knn("cosine"))
+def ivf_sq8_exhaustive(spark, d):
+    i = Index(spark, d)
+    params = train.sq8_fit(i.residuals)
+    return result(ivf.search_sq8(i.points, i.queries, i.centroids, train.sq8_encode(i.residuals, params), params, K, LISTS, 10_240, "cosine"))
+
+
+@query(sql_knn("ip"))
+def ivf_rabitq_exhaustive(spark, d):
+    i = Index(spark, d)
+    return result(ivf.search_rabitq(i.points, i.queries, i.centroids, train.rabitq_encode(i.residuals, i.points), K, LISTS, 10_240, "ip"))
+
+
+@query()
+def ivf_pq_search(spark, d):
+    """Trained k-means and codebook, 16 cells, 8 probed."""
+    rows = points(spark, d)
+    centroids = settle(train.kmeans_fit(rows, 16))
+    assigned = settle(train.kmeans_assign(rows, centroids))
+    res = settle(train.residuals(rows, assigned, centroids))
+    book = settle(train.pq_train(res, PARTS))
+    return result(ivf.search_pq(rows, asked(rows), centroids, settle(train.pq_encode(res, book, PARTS)), book, PARTS, K, 8, 256))
+
+
+@query()
+def rabitq_search(spark, d):
+    i = Index(spark, d)
+    return result(ivf.search_rabitq(i.points, i.queries, i.centroids, train.rabitq_encode(i.residuals, i.points), K, 6, 256))
+
+
+@query()
+def rabitq_encode(spark, d):
+    i = Index(spark, d)
+    return train.rabitq_encode(i.residuals, i.points).select("id", "cluster_id", F.hex("bits").alias("bits"), F.round("rescale", 6).alias("rescale"), "popcount")
+
+
+# Merging, shards, graphs.
+
+
+@query(sql_knn("l2"))
+def sharded_merge(spark, d):
+    rows = points(spark, d)
+    return result(knn.sharded_knn(rows, asked(rows), 3, K))
+
+
+@query(f"WITH {PTS}, u AS (SELECT query_id, id, {SQL_DISTANCE['l2']} + label AS distance FROM q, pts UNION ALL SELECT query_id, id, {SQL_DISTANCE['l2']} FROM q, pts WHERE id % 2 = 0), d AS (SELECT query_id, id, min(distance) AS distance FROM u GROUP BY query_id, id) {sql_top('d')}")
+def merge_topk_dedup(spark, d):
+    rows = points(spark, d)
+    pair = rows.join(F.broadcast(asked(rows))).select("query_id", "id", "label", distance("l2", F.col("q"), F.col("embedding")).alias("distance"))
+    one = pair.select("query_id", "id", (F.col("distance") + F.col("label")).alias("distance"))
+    return result(knn.merge_topk(one.unionByName(pair.where("id % 2 = 0").select("query_id", "id", "distance")), K))
+
+
+@query(f"WITH {PTS}, d AS (SELECT a.id, b.id AS neighbour, {sql_l2('a.v', 'b.v')} AS d FROM pts a, pts b WHERE a.id <> b.id) SELECT id, rank::INTEGER AS rank, neighbour, round(sqrt(d), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbour) AS rank FROM d) WHERE rank <= 15")
+def knn_graph(spark, d):
+    return rounded(knn.knn_graph(points(spark, d), 15), "distance")
+
+
+def _graph_search(kind: str, trace: bool):
+    def run(spark, d):
+        rows = points(spark, d)
+        made = graph.build(rows, kind, 16, 100)
+        found = graph.search(made, asked(rows), K, 128, "l2", kind, trace=trace)
+        return found if trace else result(found)
+
+    return run
+
+
+for _kind in ("hnsw", "cagra"):
+    query(name=f"{_kind}_search")(_graph_search(_kind, False))
+    query(name=f"{_kind}_debug")(_graph_search(_kind, True))
+
+
+@query()
+def hnsw_filtered(spark, d):
+    rows = points(spark, d)
+    return result(graph.search(graph.build(rows, "hnsw", 16, 100), asked(rows), K, 64, allowed=rows.where("label < 5").select("id")))
+
+
+@query()
+def fp16_search(spark, d):
+    rows = points(spark, d)
+    return result(knn.search_fp16(rows, asked(rows), K))
+
+
+@query()
+def fp16_encode(spark, d):
+    return train.fp16_encode(points(spark, d)).select("id", F.round("norm_sq", 4).alias("norm_sq"), F.round(F.element_at("half", 1), 6).alias("first"))
+
+
+@query()
+def mmr(spark, d):
+    rows = points(spark, d)
+    q = asked(rows)
+    near = knn.knn(rows, q, 20, "cosine").join(rows, "id").join(q, "query_id")
+    return sparse.mmr(near.select("query_id", "id", "q", "embedding"), 4)
+
+
+# Figures and projections.
+
+
+@query(f"WITH {PTS}, t AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY {SQL_DISTANCE['l2']}, id) AS r FROM q, pts), f AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY {SQL_DISTANCE['cosine']}, id) AS r FROM q, pts) SELECT t.query_id, round(count(f.id) / count(*)::DOUBLE, 6) AS recall FROM t LEFT JOIN f ON f.query_id = t.query_id AND f.id = t.id AND f.r <= 10 WHERE t.r <= 10 GROUP BY t.query_id")
+def recall_at_k(spark, d):
+    rows = points(spark, d)
+    q = asked(rows)
+    return rounded(evaluate.recall_at_k(knn.knn(rows, q, K, "cosine"), knn.knn(rows, q, K, "l2")), "recall")
+
+
+_PLACES = ", ".join(f"max(v) FILTER (r = least(floor(n * {p}), n - 1) + 1) AS {name}" for name, p in evaluate.QUANTILES.items())
+
+
+@query(f"WITH s AS (SELECT value AS v, row_number() OVER (ORDER BY value) AS r, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT count(*) AS count, {_PLACES}, min(v) AS min, max(v) AS max, round(avg(v), 6) AS mean FROM s")
+def latency_stats(spark, d):
+    return rounded(evaluate.latency_stats(table(spark, d, "events"), "value"), "mean")
+
+
+@query("SELECT sum(n)::BIGINT AS requests, count(*) AS batches, round(avg(n), 6) AS mean_size FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)")
+def batch_stats(spark, d):
+    return rounded(evaluate.batch_stats(table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("size"))), "mean_size")
+
+
+@query()
+def pca_project(spark, d):
+    rows = points(spark, d)
+    return rounded(project3d.pca_project(rows, *project3d.pca_fit(rows)), "x", "y", "z")
+
+
+@query()
+def umap_project(spark, d):
+    rows = points(spark, d)
+    return rounded(project3d.umap_project(rows, project3d.umap_fit(rows)), "x", "y", "z")
+
+
+@query()
+def umap_fuzzy_edges(spark, d):
+    return rounded(project3d.fuzzy_edges(points(spark, d)), "weight")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
