@@ -51,7 +51,8 @@ def labelled_samples(spark: SparkSession, n: int = 6000) -> DataFrame:
 
     Random strings are digests in base64, in its URL form, in hexadecimal and in
     upper-case letters and digits. Identifiers join two to five of the fixed words
-    in camel, snake, kebab, path and upper-case style, some with a number at the end.
+    in camel, snake, kebab, path and upper-case style, some with a number at the end;
+    rulers, runs of one character, are ordinary too.
     """
     words = F.array(*[F.lit(w) for w in IDENTIFIER_WORDS])
     ids = spark.range(n).withColumn("d", F.unhex(F.sha2(F.col("id").cast("string"), 256)))
@@ -83,7 +84,9 @@ def labelled_samples(spark: SparkSession, n: int = 6000) -> DataFrame:
         ).alias("token"),
         F.lit(0).alias("label"),
     )
-    return strings.union(names)
+    sign = F.substring(F.lit(ALPHABET), (F.col("id") % len(ALPHABET) + 1).cast("int"), F.lit(1))
+    rulers = spark.range(4 * len(ALPHABET)).select(F.repeat(sign, F.lit(40)).alias("token"), F.lit(0).alias("label"))
+    return strings.union(names).union(rulers)
 
 
 def train(samples: DataFrame, token_col: str = "token", label_col: str = "label", smoothing: float = 0.5) -> list[float]:
