@@ -171,8 +171,8 @@ class _Adam:
 def fit(texts: list[str], y: np.ndarray, steps: int = 250, each: int = 8, batch: int = 512, rate: float = 0.02, drop: float = 0.5, decay: float = 2e-4, seed: int = 7) -> dict:
     """Parameters from labelled texts, by back-propagation through time.
 
-    A document's label is that of its worst window. The first two epochs take windows
-    of toxic documents at random, later ones those that score highest so far.
+    A document's label is that of its worst window. The first fifth of the batches takes
+    windows of toxic documents at random, later ones those that score highest so far.
     Batches go on until there were ``steps`` of them, whatever the number of texts. Of
     clean documents half are the highest, half at random, ``each`` windows at most a
     document and epoch. Word embeddings are left out with probability ``drop``, so
@@ -204,23 +204,21 @@ def fit(texts: list[str], y: np.ndarray, steps: int = 250, each: int = 8, batch:
         table = embed(p, feats) @ p["in"] + p["bias"]
         return np.concatenate([forward(p, table[windows[rows[i : i + BATCH]].T], (windows[rows[i : i + BATCH]].T != pad).astype(np.float32)) for i in range(0, len(rows), BATCH)])
 
-    def choose(epoch):
+    def choose(done):
         key = rng.random(len(windows))
-        if epoch >= 2:
+        if done >= 0.2:
             got = logits(np.arange(len(windows)))
             hard = (y[owner] == 1) | (rng.random(len(windows)) < 0.5)
             key = np.where(hard, -got, key * 8 - 4)
         order = np.lexsort((key, owner))
         first = np.searchsorted(owner[order], owner[order])
         place = np.arange(len(order)) - first
-        most = np.where((y[owner[order]] == 1) & (epoch >= 2), 1 + (epoch < 4), each)
+        most = np.where((y[owner[order]] == 1) & (done >= 0.2), 1 + (done < 0.4), each)
         chosen = order[place < most]
         return rng.permutation(chosen)
 
-    epoch = 0
     while opt.t < steps:
-        chosen = choose(epoch)
-        epoch += 1
+        chosen = choose(opt.t / steps)
         share = y[owner[chosen]].mean()
         weight = np.array([0.5 / (1 - share), 0.5 / share], np.float32)
         for i in range(0, len(chosen), batch):
