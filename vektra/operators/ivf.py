@@ -44,16 +44,35 @@ def _finish(stage: DataFrame, points, queries, k, rerank_k, metric) -> DataFrame
     return rerank_exact(stage.withColumn("_r", rank).where(F.col("_r") <= size), points, queries, k, metric)
 
 
+def look_up_tables(probes: DataFrame, codebook: DataFrame, m: int) -> DataFrame:
+    """(query_id, cluster_id, lut): squared distances of the parts of a probe's residual to all codewords, by code."""
+    words = train.code_words(codebook, m)
+    shared = probes.sparkSession.sparkContext.broadcast(words)
+    size = max((int(codes.max()) + 1 for codes, _ in words if len(codes)), default=0)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = list_matrix(b.column(2)).reshape(b.num_rows, m, -1)
+            lut = np.full((b.num_rows, m, size), np.inf)
+            for i, (codes, own) in enumerate(shared.value):
+                for at in range(0, b.num_rows, 256):
+                    lut[at : at + 256, i, codes] = ((x[at : at + 256, i, None] - own[None]) ** 2).sum(2)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lut.tolist(), pa.list_(pa.list_(pa.float64())))], names=["query_id", "cluster_id", "lut"])
+
+    res = probes.select(F.col("query_id").cast("long"), F.col("cluster_id").cast("int"), subtract(F.col("q"), F.col("centroid")).alias("residual"))
+    return res.mapInArrow(run, "query_id long, cluster_id int, lut array<array<double>>")
+
+
 def adc_scan(codes: DataFrame, codebook: DataFrame, probes: DataFrame, m: int) -> DataFrame:
-    """(query_id, id, distance): table look-ups of query residuals against codewords, summed over the parts.
+    """(query_id, id, distance): each code's entry in its probe's look-up table, summed over the parts.
 
-    A look-up row exists only for probed cells and codes that occur there.
+    Codes meet the probes of their cell only; a point and query are one row.
     """
-    res = probes.select("query_id", "cluster_id", subtract(F.col("q"), F.col("centroid")).alias("residual"))
-    used = codes.select("cluster_id", "m", "code").distinct()
-    word = codebook.select("m", "code", F.col("sub").alias("word"))
-    look = train.sub_vectors(res, m).join(used, ["cluster_id", "m"]).join(word, ["m", "code"]).select("query_id", "cluster_id", "m", "code", squared_l2(F.col("sub"), F.col("word")).alias("d"))
-    return codes.join(look, ["cluster_id", "m", "code"]).groupBy("query_id", "id").agg(F.sum("d").alias("distance"))
+    rows = codes.join(look_up_tables(probes, codebook, m), "cluster_id")
+    total = F.aggregate(F.zip_with("codes", "lut", lambda c, t: F.get(t, c)), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("query_id", "id", total.alias("distance"))
 
 
 def search_pq(points, queries, centroids, codes, codebook, m, k=10, nprobe=8, rerank_k=32, metric="l2") -> DataFrame:
@@ -128,7 +147,7 @@ def pq_distortion(res: DataFrame, points: DataFrame, codes: DataFrame, codebook:
     place = F.row_number().over(Window.partitionBy("cluster_id").orderBy("id")) - 1
     some = res.select("id", "cluster_id").withColumn("_r", place).join(sizes, "cluster_id").where(F.col("_r") % F.ceil(F.col("_n") / limit) == 0).select("id")
     word = codebook.select("m", "code", F.col("sub").alias("word"))
-    parts = train.sub_vectors(res.join(some, "id", "left_semi"), m).join(codes.select("id", "m", "code"), ["id", "m"]).join(word, ["m", "code"])
+    parts = train.sub_vectors(res.join(some, "id", "left_semi"), m).join(train.coded(codes).select("id", "m", "code"), ["id", "m"]).join(word, ["m", "code"])
     error = parts.groupBy("id", "cluster_id").agg(F.sum(squared_l2(F.col("sub"), F.col("word"))).alias("e"))
     norm = points.select("id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")).alias("n"))
     each = error.join(norm, "id").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("samples"), F.avg(F.col("e") / F.greatest("n", F.lit(1e-12))).alias("distortion"))

@@ -37,14 +37,41 @@ def kmeans_fit(points: DataFrame, k: int, rounds: int = 25, seed: int = 42) -> D
     return spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centers)], "cluster_id int, centroid array<double>")
 
 
-def kmeans_assign(points: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(id, cluster_id, distance): the nearest centroid, lowest number on ties.
+def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and squared distance of the row of ``c`` nearest to each row of ``x``; the lowest on ties.
 
-    An aggregate over struct minima with a partial step, so only one row for each
-    point leaves a task.
+    A matrix product finds the three likeliest, which are then summed exactly.
     """
-    near = points.join(small(centroids, MOST_LISTS)).select("id", F.struct(squared_l2(F.col("embedding"), F.col("centroid")).alias("distance"), "cluster_id").alias("n"))
-    return near.groupBy("id").agg(F.min("n").alias("n")).select("id", F.col("n.cluster_id").alias("cluster_id"), F.col("n.distance").alias("distance"))
+    rough = (c * c).sum(1)[None] - 2 * (x @ c.T)
+    few = np.argpartition(rough, min(3, len(c)) - 1, axis=1)[:, : min(3, len(c))] if len(c) > 3 else np.broadcast_to(np.arange(len(c)), (len(x), len(c)))
+    few = np.sort(few, axis=1)
+    exact = ((x[:, None] - c[few]) ** 2).sum(2)
+    best = exact.argmin(1)
+    rows = np.arange(len(x))
+    return few[rows, best], exact[rows, best]
+
+
+def centroid_matrix(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and vectors of all centroids, in order; raises beyond MOST_LISTS of them."""
+    got = centroids.select("cluster_id", "centroid").limit(MOST_LISTS + 1).collect()
+    if len(got) > MOST_LISTS:
+        raise ValueError(f"more than {MOST_LISTS} centroids")
+    got.sort(key=lambda r: r[0])
+    return np.array([r[0] for r in got], np.int32), np.array([r[1] for r in got], np.float64)
+
+
+def kmeans_assign(points: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(id, cluster_id, distance): the nearest centroid, lowest number on ties. No exchange: centroids go to the points."""
+    shared = points.sparkSession.sparkContext.broadcast(centroid_matrix(centroids))
+
+    def run(batches):
+        numbers, c = shared.value
+        for b in batches:
+            if b.num_rows and len(c):
+                at, d = nearest(list_matrix(b.column(1)), c)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(numbers[at]), pa.array(d)], names=["id", "cluster_id", "distance"])
+
+    return points.select(F.col("id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "id long, cluster_id int, distance double")
 
 
 def lloyd_step(points: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -106,11 +133,32 @@ def pq_train(res: DataFrame, m: int, codes: int = CODES, rounds: int = 15, seed:
     return sub_vectors(sample, m).groupBy("m").applyInPandas(fit, "m int, code int, sub array<double>")
 
 
+def code_words(codebook: DataFrame, m: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each part its codes and their words, in order; ``m`` times CODES rows at most."""
+    got = codebook.select("m", "code", "sub").limit(m * CODES + 1).collect()
+    if len(got) > m * CODES:
+        raise ValueError("too many codewords")
+    parts = [sorted((r[1], r[2]) for r in got if r[0] == i) for i in range(m)]
+    return [(np.array([c for c, _ in p], np.int32), np.array([w for _, w in p], np.float64)) for p in parts]
+
+
 def pq_encode(res: DataFrame, codebook: DataFrame, m: int) -> DataFrame:
-    """(id, cluster_id, m, code): the nearest codeword of each part, lowest code on ties."""
-    book = small(codebook.select("m", "code", F.col("sub").alias("word")), m * CODES)
-    near = sub_vectors(res, m).join(book, "m").select("id", "cluster_id", "m", F.struct(squared_l2(F.col("sub"), F.col("word")).alias("d"), "code").alias("n"))
-    return near.groupBy("id", "cluster_id", "m").agg(F.min("n").alias("n")).select("id", "cluster_id", "m", F.col("n.code").alias("code"))
+    """(id, cluster_id, codes): the nearest codeword of each part, lowest code on ties. No exchange."""
+    shared = res.sparkSession.sparkContext.broadcast(code_words(codebook, m))
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x = list_matrix(b.column(2)).reshape(b.num_rows, m, -1)
+                codes = np.stack([numbers[nearest(x[:, i], words)[0]] for i, (numbers, words) in enumerate(shared.value)], axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes.tolist(), pa.list_(pa.int32()))], names=["id", "cluster_id", "codes"])
+
+    return res.select("id", "cluster_id", "residual").mapInArrow(run, "id long, cluster_id int, codes array<int>")
+
+
+def coded(codes: DataFrame) -> DataFrame:
+    """(id, cluster_id, m, code): one row for each part."""
+    return codes.select("id", "cluster_id", F.posexplode("codes").alias("m", "code"))
 
 
 def sq8_fit(res: DataFrame) -> DataFrame:

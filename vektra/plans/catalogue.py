@@ -409,7 +409,7 @@ def sq8_encode(spark, d):
 
 @query(f"{_BASE}, {_BOOK}, {_CODES} SELECT id, cluster_id, m, code FROM codes")
 def pq_encode(spark, d):
-    return Index(spark, d).codes()
+    return train.coded(Index(spark, d).codes())
 
 
 _ADC = f"{_BASE}, {_BOOK}, {_CODES}, {_PROBE.format(n=4)}, adc AS (SELECT query_id, id, sum({sql_l2('qr[codes.m * 8 + 1 : codes.m * 8 + 8]', 'w')}) AS distance FROM (SELECT query_id, cluster_id, list_transform(list_zip(q, c), lambda p: p[1] - p[2]) AS qr FROM probe) p JOIN codes ON codes.cluster_id = p.cluster_id JOIN book ON book.m = codes.m AND book.code = codes.code GROUP BY query_id, id)"
