@@ -8,10 +8,13 @@ which ``parity`` verifies.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,13 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Characters that are encoded at a time, if a single text is not longer.
-SLICE = 2_000_000
+SLICE = 500_000
+#: Threads that the library encodes a batch with, in each worker.
+THREADS = 2
+#: Words whose ids a worker keeps.
+KEPT_WORDS = 300_000
+
+_SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 @dataclass
@@ -98,8 +107,9 @@ def _merges(model: Model) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(found)]
 
 
+@lru_cache(maxsize=2)
 def build(data: bytes):
-    """A tokenizers pipeline that encodes and decodes as the model file does."""
+    """A tokenizers pipeline that encodes and decodes as the model file does; built once in a worker."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     model = parse(data)
@@ -127,39 +137,96 @@ def build(data: bytes):
     return out
 
 
+@lru_cache(maxsize=2)
+def _judge(data: bytes):
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_proto=data)
+
+
+class Encoder:
+    """Ids of texts by the rebuilt pipeline, a batch at a time.
+
+    Where no piece goes on behind a marker, words are encoded each by itself, once, and
+    texts are put together from their words; a full store of words is emptied. Other
+    models encode whole texts.
+    """
+
+    def __init__(self, data: bytes, kept: int = KEPT_WORDS):
+        from tokenizers import Tokenizer
+
+        self.model, self.whole, self.kept, self.words = parse(data), build(data), kept, {}
+        self.by_word = self.whole.pre_tokenizer is not None and not any(kind == USER for _, _, kind in self.model.pieces)
+        self.core = Tokenizer(self.whole.model)
+        self.plain = not self.model.charsmap and not self.model.remove_extra
+        text = lambda p, kind: bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode()
+        self.table = [text(p, kind) for p, _, kind in self.model.pieces]
+
+    def _split(self, text: str) -> list[str]:
+        if not text:
+            return []
+        flat = (MARK * self.model.dummy_prefix + text.replace(" ", MARK)) if self.plain else self.whole.normalizer.normalize_str(text)
+        if MARK + MARK in flat or "\0" in flat:
+            return _SEGMENT.findall(flat)
+        return [w for w in flat.replace(MARK, "\0" + MARK).split("\0") if w]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_word:
+            got = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            return [np.array(g if t else [], "<u4") for g, t in zip(got, texts)]
+        split = [self._split(t) for t in texts]
+        if len(self.words) > self.kept:
+            self.words.clear()
+        fresh = list(set().union(*split).difference(self.words))
+        for word, got in zip(fresh, self.core.encode_batch_fast(fresh, add_special_tokens=False)):
+            self.words[word] = np.array(got.ids, "<u4").tobytes()
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, ws)), "<u4") for ws in split]
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids, put together from the pieces' bytes."""
+        text = b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
+
+
+@lru_cache(maxsize=2)
+def encoder_of(data: bytes) -> Encoder:
+    return Encoder(data)
+
+
 OUT = "doc_id long, n_ids long, ids_crc32 long, round_trip boolean, parity boolean"
 
 
 def encode(docs: DataFrame, data: bytes, id_col: str = "doc_id", text_col: str = "text", parity: bool = True, with_ids: bool = False) -> DataFrame:
     """``(doc_id, n_ids, ids_crc32, round_trip, parity)`` (and ``ids`` if asked for), one row per row.
 
-    ``data``: the model file. ``round_trip``: decoding gives what SentencePiece's
-    decoding gives, and the text itself where the normaliser changes nothing.
-    ``parity``: the ids equal SentencePiece's (null unless verified); where they do not,
-    SentencePiece's are given. Known to differ: runs of thousands of spaces, as merges
-    of equal score are ordered by pair here and by place there. A null text counts
-    as empty and has no ids; null ids and repeated rows stay; an empty table gives no
-    rows; other columns are not read. Batches are encoded by the library's own threads,
-    a bounded number of characters at a time; there is no exchange.
+    ``data``: the model file. ``round_trip``: decoding gives the text itself, or what
+    SentencePiece's decoding gives (a normaliser may change texts). ``parity``: the ids
+    equal SentencePiece's (null unless verified); where they do not, SentencePiece's are
+    given. Known to differ: runs of thousands of spaces, as merges of equal score are
+    ordered by pair here and by place there. A null text counts as empty and has no ids;
+    null ids and repeated rows stay; an empty table gives no rows; other columns are not
+    read. Batches are encoded by the library's own threads, a bounded number of
+    characters at a time; there is no exchange.
     """
     names = ["doc_id", "n_ids", "ids_crc32", "round_trip", "parity", *["ids"] * with_ids]
 
     def run(batches):
-        from sentencepiece import SentencePieceProcessor
-
-        tokenizer = build(data)
-        judge = SentencePieceProcessor(model_proto=data) if parity else None
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+        encoder, judge = encoder_of(data), _judge(data) if parity else None
 
         def rows(ids, texts):
-            got = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            got = [g if t else [] for g, t in zip(got, texts)]
-            theirs = judge.encode(texts, num_threads=1) if judge else None
-            same = [a == b for a, b in zip(got, theirs)] if judge else [None] * len(got)
-            got = theirs or got
-            back = tokenizer.decode_batch(got, skip_special_tokens=False)
-            trip = [b == t or (judge is not None and b == judge.decode(g)) for b, t, g in zip(back, texts, got)]
-            arrays = [pa.array(ids, pa.int64()), pa.array(list(map(len, got)), pa.int64()), pa.array([zlib.crc32(np.array(g, "<u4").tobytes()) for g in got], pa.int64()), pa.array(trip, pa.bool_()), pa.array(same, pa.bool_())]
-            return pa.RecordBatch.from_arrays([*arrays, *[pa.array(got, pa.list_(pa.int64()))] * with_ids], names=names)
+            got = encoder.encode(texts)
+            same = [None] * len(got)
+            if judge:
+                theirs = [np.array(x, "<u4") for x in judge.encode(texts, num_threads=1)]
+                same = [np.array_equal(a, b) for a, b in zip(got, theirs)]
+                got = theirs
+            trip = []
+            for t, g in zip(texts, got):
+                back = encoder.decode(g)
+                trip.append(back == t or (judge is not None and back == judge.decode(g.tolist())))
+            arrays = [pa.array(ids, pa.int64()), pa.array(list(map(len, got)), pa.int64()), pa.array([zlib.crc32(g.tobytes()) for g in got], pa.int64()), pa.array(trip, pa.bool_()), pa.array(same, pa.bool_())]
+            return pa.RecordBatch.from_arrays([*arrays, *[pa.array([g.tolist() for g in got], pa.list_(pa.int64()))] * with_ids], names=names)
 
         for batch in batches:
             ids, texts, size = [], [], 0
