@@ -27,7 +27,7 @@ WORD_ROWS, GRAM_ROWS, GRAMS = 1 << 13, 1 << 14, (3, 4, 5)
 #: Windows computed at a time, and words whose input a worker keeps (emptied when full).
 BATCH, KEPT = 1024, 200_000
 
-_WORD = re.compile(r"\w+")
+_WORD, _GAP = re.compile(r"\w+"), re.compile(r"\W")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -35,6 +35,16 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def blocks(text: str | None, size: int = 1 << 20) -> Iterator[str]:
+    """A text in parts of about ``size`` characters that end between words."""
+    text, at = text or "", 0
+    while at < len(text):
+        gap = _GAP.search(text, at + size) if at + size < len(text) else None
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+
+
 def inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each word its embedding row; then all n-gram rows and where each word's begin."""
     raw = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-8", "replace"), np.uint8)
@@ -84,6 +94,18 @@ def embed(p: dict, feats) -> np.ndarray:
     return np.concatenate([p["word"][rows], np.add.reduceat(p["gram"][grams], begin, axis=0) / count], axis=1)
 
 
+def project(p: dict, feats, at_once: int = 10_000) -> np.ndarray:
+    """Projected inputs of all words, a bounded number of them at a time."""
+    rows, grams, begin = feats
+    end = np.append(begin, len(grams))
+    out = np.empty((len(rows), 6 * HIDDEN), np.float32)
+    for a in range(0, len(rows), at_once):
+        b = min(a + at_once, len(rows))
+        part = (rows[a:b], grams[end[a] : end[b]], begin[a:b] - begin[a])
+        out[a:b] = embed(p, part) @ p["in"] + p["bias"]
+    return out
+
+
 def forward(p: dict, x: np.ndarray, mask: np.ndarray | None, keep: bool = False):
     """Logits of windows from their projected inputs ``x`` (time, window, 6 * HIDDEN).
 
@@ -168,6 +190,10 @@ class _Adam:
             p[k] -= fix * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)
 
 
+def _parts(values: list, size: int) -> list[list]:
+    return [values[i : i + size] for i in range(0, len(values), size)]
+
+
 def fit(texts: list[str], y: np.ndarray, steps: int = 250, each: int = 8, batch: int = 512, rate: float = 0.02, drop: float = 0.5, decay: float = 2e-4, seed: int = 7) -> dict:
     """Parameters from labelled texts, by back-propagation through time.
 
@@ -184,14 +210,15 @@ def fit(texts: list[str], y: np.ndarray, steps: int = 250, each: int = 8, batch:
         p["out"][:] = 0
         p["out_b"][:] = 5.0 if len(y) and y[0] else -5.0
         return p
-    lists = [words_of(t) for t in texts]
-    vocab = {w: i for i, w in enumerate(dict.fromkeys(w for ws in lists for w in ws))}
+    vocab: dict[str, int] = {}
+    lists = [np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t)], np.int32) for t in texts]
     pad = len(vocab)
-    feats = inputs([*vocab, "padding"])
+    feats = [inputs(part) for part in _parts([*vocab, "padding"], 20_000)]
+    offset = np.cumsum([0, *(len(f[1]) for f in feats)])
+    feats = (np.concatenate([f[0] for f in feats]), np.concatenate([f[1] for f in feats]).astype(np.int32), np.concatenate([f[2] + o for f, o in zip(feats, offset)]))
     count = np.diff(np.append(feats[2], len(feats[1])))
     windows, owner = [], []
-    for i, ws in enumerate(lists):
-        ids = np.array([vocab[w] for w in ws], np.int32)
+    for i, ids in enumerate(lists):
         for s in window_starts(len(ids)):
             row = np.full(WINDOW, pad, np.int32)
             row[: len(ids[s : s + WINDOW])] = ids[s : s + WINDOW]
@@ -201,7 +228,7 @@ def fit(texts: list[str], y: np.ndarray, steps: int = 250, each: int = 8, batch:
     opt = _Adam(p, rate)
 
     def logits(rows):
-        table = embed(p, feats) @ p["in"] + p["bias"]
+        table = project(p, feats)
         return np.concatenate([forward(p, table[windows[rows[i : i + BATCH]].T], (windows[rows[i : i + BATCH]].T != pad).astype(np.float32)) for i in range(0, len(rows), BATCH)])
 
     def choose(done):
@@ -269,18 +296,21 @@ class Scorer:
             self.table = np.concatenate([self.table[:first], np.empty((max(need, 2 * len(self.table)) - first, 6 * HIDDEN), np.float32)])
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            self.table[first + at : first + at + len(part)] = embed(self.p, inputs(part)) @ self.p["in"] + self.p["bias"]
+            self.table[first + at : first + at + len(part)] = project(self.p, inputs(part))
         self.rows.update(zip(words, range(first, need)))
 
     def worst(self, text: str | None) -> list[np.ndarray]:
         """The windows of a text, as rows of word numbers."""
-        ws = words_of(text)
         if len(self.rows) > self.kept:
             self.rows.clear()
-        new = set(ws).difference(self.rows)
-        if new:
-            self._learn(list(new))
-        ids = np.fromiter(map(self.rows.__getitem__, ws), np.int32, len(ws))
+        parts = [np.empty(0, np.int32)]
+        for block in blocks(text):
+            ws = words_of(block)
+            new = set(ws).difference(self.rows)
+            if new:
+                self._learn(list(new))
+            parts.append(np.fromiter(map(self.rows.__getitem__, ws), np.int32, len(ws)))
+        ids = np.concatenate(parts)
         if len(ids) < WINDOW:
             return np.concatenate([ids, np.zeros(WINDOW - len(ids), np.int32)])[None]
         return np.lib.stride_tricks.sliding_window_view(ids, WINDOW)[window_starts(len(ids))]
