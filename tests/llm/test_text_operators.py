@@ -284,6 +284,14 @@ def test_network_gradients():
     assert abs((toxicity.forward(p, y, mask).sum() - logit.sum()) / 1e-3 - dx[1, 0, 2]) < 1e-2
 
 
+def test_blocks_end_between_words():
+    text = "Ab cdé  fgh,ij " * 40 + "x" * 50 + " end"
+    for size in (1, 7, 64, 10_000):
+        parts = list(toxicity.blocks(text, size))
+        assert "".join(parts) == text and [w for p in parts for w in toxicity.words_of(p)] == toxicity.words_of(text)
+    assert list(toxicity.blocks(None)) == []
+
+
 def test_windows_cover_all_words_and_flushing_changes_nothing():
     for n in (0, 1, 31, 32, 33, 56, 57, 400):
         covered = {i for s in toxicity.window_starts(n) for i in range(s, min(s + toxicity.WINDOW, n))}
