@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,12 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder for a file, loaded once."""
+    return Encoder(path)
+
+
 class Encoder:
     """Token ids of whole texts by a file of the tokenizers library.
 
@@ -110,7 +117,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4")
+        encoder, end = encoder_of(tokenizer), np.array([end_id], "<u4")
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 40
         waiting: dict[int, list[tuple]] = {}  # pieces of classes whose bin is not full
