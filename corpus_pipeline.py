@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vektra.llm import packing, pii, quality, simhash, toxicity
+from vektra.llm import copies, packing, pii, quality, toxicity
 from vektra.llm.shared import cut, table
 
 #: The key of the pseudonyms; a real run passes its own.
@@ -31,8 +31,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates."""
-    return simhash.survivors(docs)
+    """One document of each group that five-word similarities of 0.8 or more connect."""
+    return copies.survivors(docs)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

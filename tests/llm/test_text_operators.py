@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vektra.llm import packing, pieces, pii, quality, secrets, simhash, toxicity, urlrep
+from vektra.llm import copies, packing, pieces, pii, quality, secrets, simhash, toxicity, urlrep
 from vektra.llm.shared import components, held_out
 
 DOC = "doc_id long, text string"
@@ -115,6 +115,35 @@ def test_simhash_documents(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0 and simhash.survivors(docs(spark, [])).count() == 0
 
 
+def test_near_copies_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(300)]
+    shared = " ".join(rng.choice(vocabulary, 30))
+    texts = []
+    for base in range(12):
+        words = rng.choice(vocabulary, int(rng.integers(60, 200))).tolist()
+        for edits in range(8):
+            mine = list(words)
+            for at in rng.choice(len(mine), edits, replace=False):
+                mine[at] = "edit"
+            texts.append(" ".join(mine) + (" " + shared if base % 2 else ""))
+    texts += [None, "", " ", "one two", "One  two", texts[5], texts[5].upper()]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    alike = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    group = brute_components(sets, alike)
+    want = sorted(min(i for i in range(len(texts)) if group[i] == g) for g in set(group))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    kept = copies.survivors(docs(spark, rows + [rows[0], (None, texts[0])]))
+    assert kept.columns == ["doc_id", "text", *EXTRA]
+    assert sorted(r.doc_id for r in kept.collect()) == want
+    far = [bin(simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).count("1") for i in range(96) for j in range(i) if alike(sets[i], sets[j])]
+    assert max(far) > simhash.RADIUS
+    assert copies.survivors(docs(spark, [])).count() == 0
+
+
 def test_components_of_a_chain(spark):
     n = 200
     order = np.random.default_rng(2).permutation(n)
