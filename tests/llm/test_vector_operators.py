@@ -110,6 +110,17 @@ def test_near_duplicates(spark, full):
     assert all(r.n_links == 0 and r.component_id == r.vec_id and r.kept for r in got if r.vec_id is None or r.vec_id >= 900)
 
 
+@pytest.mark.parametrize("scale", [np.arange(1, 65) ** -1.0, np.arange(1, 65) ** -1.5, np.where(np.arange(64) < 32, 1.0, 0.1)])
+def test_links_where_few_components_are_strong(spark, scale):
+    rng = np.random.default_rng(8)
+    x = unit(rng.normal(size=(200, 64)) * scale)
+    side = rng.normal(size=x.shape) * scale
+    side = unit(side - (side * x).sum(1, keepdims=True) * x)
+    y = unit(0.9801 * x + np.sqrt(1 - 0.9801**2) * side)
+    rows = [(2 * i + j, v.astype(np.float32).tolist(), i) for i in range(200) for j, v in enumerate((x[i], y[i]))]
+    assert [r.n_links for r in caps.near_duplicates(frame(spark, rows)).collect()] == [1] * 400
+
+
 def test_decoding_finds_all_filters():
     code = caps.codes(16, 2, 20)
     x = unit(np.random.default_rng(1).normal(size=(20, 16)))

@@ -3,7 +3,8 @@
 The space is cut into blocks of components, each with a small random code; a filter is
 one code word of every block, its direction their concatenation. A vector lies in all
 filters whose direction it exceeds a bound with, which list decoding finds block by
-block, without looking at every filter. Vectors meet by (label, filter) and are
+block, without looking at every filter. A random rotation comes first, so that it does
+not matter how a vector's length is spread over its components. Vectors meet by (label, filter) and are
 verified by cosine.
 """
 
@@ -35,6 +36,12 @@ def codes(dim: int, blocks: int = BLOCKS, words: int = WORDS, seed: int = SEED)
     return out
 
 
+def rotation(dim: int, seed: int = SEED) -> np.ndarray:
+    """A random orthogonal matrix: it spreads vectors with a few strong components over all blocks."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
+    return q * np.sign(np.diag(r))
+
+
 def decode(x: np.ndarray, code: list[np.ndarray], bound: float, least: int = LEAST) -> np.ndarray:
     """Numbers of all filters that the unit vector exceeds ``bound`` with, ascending; of the ``least`` best if these are fewer."""
     at, scores, best = 0, [], np.zeros(1)
@@ -129,13 +136,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     if dim:
         code = codes(dim, blocks, words, seed)
         limit = bound / dim**0.5
+        turn = rotation(dim, seed)
 
         def place(batches):
             for batch in batches:
                 if batch.num_rows:
                     x = matrix(batch.column(1), batch.num_rows)
                     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-                    found = [decode(r, code, limit, least) for r in x]
+                    found = [decode(r, code, limit, least) for r in x @ turn]
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=["label", "v", "node", "copies", "filters"])
 
         placed = classes.mapInArrow(place, "label long, v array<float>, node long, copies long, filters array<int>")
