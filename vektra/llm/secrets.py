@@ -21,6 +21,8 @@ LEAST = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % LEAST
 #: Mean log-likelihood ratio for each character pair (nats) from which a run counts as random.
 RATIO = 0.6
+#: Fall of a stretch's sum (nats) that ends it: half of what LEAST characters must reach.
+DROP = RATIO * LEAST / 2
 
 #: Words that ordinary identifiers of the labelled samples are built of.
 IDENTIFIER_WORDS = """
@@ -111,18 +113,71 @@ def train(samples: DataFrame, token_col: str = "token", label_col: str = "label"
     return (logs[1] - logs[0]).ravel().tolist()
 
 
+def _pair_ratios(token: Column, model: list[float]) -> Column:
+    """Log-likelihood ratio of each pair of neighbouring characters, as an array."""
+    n, table = len(ALPHABET), F.array(*[F.lit(x) for x in model])
+    places = F.transform(F.split(token, "", F.length(token)), lambda c: F.instr(F.lit(ALPHABET), c))
+    pair = lambda a, b: F.coalesce(F.get(table, ((a - 1) * n + b - 1).cast("int")), F.lit(0.0))
+    return _let(places, lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p)), pair))
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _mean(pairs: Column) -> Column:
+    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / F.size(pairs)
+
+
 def ratio(token: Column, model: list[float]) -> Column:
     """Mean log-likelihood ratio over the token's character pairs; null for tokens of under two characters."""
-    n, table = len(ALPHABET), F.array(*[F.lit(x) for x in model])
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, 1))
-    start = F.struct(place(F.lit(1)).cast("int").alias("p"), F.lit(0.0).alias("s"))
-    length = F.length(token)
+    return F.when(F.length(token) > 1, _let(_pair_ratios(token, model), _mean))
 
-    def step(acc, i):
-        at = F.instr(F.lit(ALPHABET), F.substring(token, i, 1)).cast("int")
-        return F.struct(at.alias("p"), (acc["s"] + F.coalesce(F.get(table, (acc["p"] - 1) * n + at - 1), F.lit(0.0))).alias("s"))
 
-    return F.when(length > 1, F.aggregate(F.sequence(F.lit(2), length), start, step)["s"] / (length - 1))
+def _stretches(pairs: Column, least_ratio: float) -> Column:
+    """Array of (a, b): from character a to before b, the stretches that score best, from left to right.
+
+    A stretch has LEAST characters at least and a mean of ``least_ratio`` or more. Two
+    running sums of what pairs exceed that by, one LEAST - 1 pairs behind the other,
+    give the best start for every end; a stretch is closed where its sum has fallen
+    by DROP from its best, and the search goes on behind that best end.
+    """
+    far = LEAST - 1
+    none = F.expr("cast(array() as array<struct<a:int,b:int>>)")
+    real, whole = lambda x: F.lit(x).cast("double"), lambda x: F.lit(x).cast("int")
+    # p, q: the two sums; low, at: the least q from ``base`` on and its place; best, a, b: the stretch so far.
+    start = F.struct(*[real(0.0).alias(c) for c in "pq"], real(float("inf")).alias("low"), real(-1.0).alias("best"), *[whole(0).alias(c) for c in ("at", "base", "a", "b")], none.alias("out"))
+
+    def closed(s):
+        return F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"))))
+
+    def over(w):
+        def step(s, j):
+            p = s["p"] + F.get(w, j) - least_ratio
+            q = s["q"] + F.when(j >= far, F.get(w, j - far) - least_ratio).otherwise(0.0)
+            return _let(F.struct(p.alias("p"), q.alias("q"), (j + 1 - far).alias("i"), j.alias("j"), s.alias("s")), placed)
+
+        def placed(e):
+            s = e["s"]
+            lower = (e["i"] >= s["base"]) & (e["q"] < s["low"])
+            low, at = F.when(lower, e["q"]).otherwise(s["low"]), F.when(lower, e["i"]).otherwise(s["at"])
+            return _let(F.struct(e["p"].alias("p"), e["q"].alias("q"), low.alias("low"), at.alias("at"), (e["p"] - low).alias("sum"), e["j"].alias("j"), s.alias("s")), judged)
+
+        def judged(e):
+            s = e["s"]
+            kept = [e["p"].alias("p"), e["q"].alias("q")]
+            better = (e["sum"] >= 0) & (e["sum"] > s["best"])
+            fallen = (s["best"] >= 0) & (e["sum"] < s["best"] - DROP)
+            return (
+                F.when(better, F.struct(*kept, e["low"].alias("low"), e["sum"].alias("best"), e["at"].alias("at"), s["base"].alias("base"), e["at"].alias("a"), (e["j"] + 2).alias("b"), s["out"].alias("out")))
+                .when(fallen, F.struct(*kept, real(float("inf")).alias("low"), real(-1.0).alias("best"), whole(0).alias("at"), s["b"].alias("base"), whole(0).alias("a"), whole(0).alias("b"), closed(s).alias("out")))
+                .otherwise(F.struct(*kept, e["low"].alias("low"), s["best"].alias("best"), e["at"].alias("at"), s["base"].alias("base"), s["a"].alias("a"), s["b"].alias("b"), s["out"].alias("out")))
+            )
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(w) - 1), start, step, lambda s: F.when(s["best"] >= 0, closed(s)).otherwise(s["out"]))
+
+    return _let(pairs, over)
 
 
 def _spans(text: Column, pattern: str, kind: str) -> Column:
@@ -146,11 +201,29 @@ def _long_enough(pattern: str, group: int, least: int):
     return lambda s: F.length(F.regexp_extract(s["match"], pattern, group) if group else s["match"]) >= least
 
 
+def _without(run: Column, base: Column) -> Column:
+    """What base spans leave of a run: an array of (start, end, kind, match), LEAST characters or more each."""
+    part = lambda a, b: F.struct(a.alias("start"), b.alias("end"), run["kind"].alias("kind"), F.substr(run["match"], a - run["start"] + 1, b - a).alias("match"))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,kind:string,match:string>>)")
+    more = lambda s, to: F.when(to - s["at"] >= LEAST, F.concat(s["out"], F.array(part(s["at"], to)))).otherwise(s["out"])
+    start = F.struct(run["start"].alias("at"), none.alias("out"))
+    step = lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), more(s, b["start"]).alias("out"))
+    touching = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    return _let(touching, lambda t: F.when(F.size(t) == 0, F.array(run)).otherwise(F.aggregate(t, start, step, lambda s: more(s, run["end"]))))
+
+
+def _random(run: Column, model: list[float], least_ratio: float) -> Column:
+    """The run where its mean is high enough, else its stretches that are: an array of (start, end, kind, match)."""
+    piece = lambda s: F.struct((run["start"] + s["a"]).alias("start"), (run["start"] + s["b"]).alias("end"), run["kind"].alias("kind"), F.substr(run["match"], s["a"] + 1, s["b"] - s["a"]).alias("match"))
+    return _let(_pair_ratios(run["match"], model), lambda w: F.when(_mean(w) >= least_ratio, F.array(run)).otherwise(F.transform(_stretches(w, least_ratio), piece)))
+
+
 def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text", least_ratio: float = RATIO) -> DataFrame:
     """``(doc_id, base, added)``: arrays of ``(start, end, kind, match)`` of every row's whole text.
 
-    ``base``: by start, then kind as BASE lists them. ``added``: runs of kind
-    ``markov`` that the models call random and that no base span overlaps. Null and
+    ``base``: by start, then kind as BASE lists them. ``added``: of kind
+    ``markov``, what base spans leave of runs, where the models call it random: whole,
+    or the best stretches of LEAST characters or more. Null and
     empty texts have no spans; null ids and repeated rows are kept; other columns are
     not read. Work is one row at a time, with no exchange.
     """
@@ -164,7 +237,8 @@ def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col:
     keyed = F.transform(F.concat(*kinds), lambda s: F.struct(s["start"].alias("start"), F.element_at(place, s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind"), s["match"].alias("match")))
     rows = rows.withColumn("_b", F.array_sort(keyed))
     rows = rows.withColumn("base", F.transform("_b", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["match"].alias("match"))))
-    runs = F.filter(_spans(F.col("_t"), CANDIDATE, "markov"), lambda s: (ratio(s["match"], model) >= least_ratio) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    rows = rows.withColumn("_runs", F.flatten(F.transform(_spans(F.col("_t"), CANDIDATE, "markov"), lambda r: _without(r, F.col("base")))))
+    runs = F.flatten(F.transform("_runs", lambda r: _random(r, model, least_ratio)))
     return rows.select("doc_id", "base", runs.alias("added"))
 
 
