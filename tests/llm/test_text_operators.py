@@ -251,6 +251,17 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert other[1] != got[1].text
 
 
+def test_values_next_to_other_tokens(spark):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    texts = [card, iban, f"{iban} BIC", f"exp 2027 {card}", f"AB12 {iban} BIC", f"12 {iban} 2027 {card} 12", f"{card} {iban} {card}", f"2027 {card} 2027 2026 {card}", "exp 2027 4111 1111 1111 1112", "BE68 5390 0754 7035 BIC"]
+    got = {r.doc_id: r for r in pii.pseudonymise(docs(spark, list(enumerate(texts))), "key", found_col="found").collect()}
+    assert got[0].text != card and got[1].text != iban
+    for i, t in enumerate(texts):
+        values = [] if i >= 8 else re.findall(f"{card}|{iban}", t)
+        assert got[i].found == ["card" if v == card else "iban" for v in values]
+        assert got[i].text == (t if i >= 8 else t.replace(card, got[0].text).replace(iban, got[1].text))
+
+
 def test_permutations_are_bijections(spark):
     numbers = spark.range(898 * 7).select(pii.permute_number(F.col("id"), (898, 7), "k", "t").alias("p"))
     assert numbers.distinct().count() == 898 * 7 and numbers.agg(F.min("p"), F.max("p")).first() == (0, 898 * 7 - 1)

@@ -25,6 +25,29 @@ KINDS = {
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Matches at every place where one begins, overlapping ones too; the match is group 1, so the card's separator is group 2.
+AHEAD = "(?=(" + ANY.replace(r"\1", r"\2") + "))"
+#: Lengths of the IBANs of each country.
+IBAN_LENGTHS = {
+    int(n): set(c.split()) for n, c in (line.split(":") for line in """15:NO
+16:BE
+18:DK FO FI GL NL SD
+19:MK SI
+20:AT BA EE KZ LT LU MN XK
+21:CH HR LI LV
+22:BG BH CR DE GB GE IE ME RS VA
+23:AE GI IL IQ OM SO TL
+24:AD CZ ES MD PK RO SA SE SK TN VG
+25:LY PT ST
+26:IS TR
+27:BI DJ FR GR IT MC MR SM
+28:AL AZ BY CY DO GT HU LB NI PL SV
+29:BR EG PS QA UA
+30:JO KW MU YE
+31:MT SC
+32:LC
+33:RU""".split("\n"))
+}
 #: The calendar's cycle of 400 years has so many days, 189 * 773.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
 
@@ -121,6 +144,16 @@ def _card(m: Column, key: str) -> Column:
     return _let(_kept(m, "0-9"), each)
 
 
+def _iban_of(m: Column) -> Column:
+    """What a match begins with that is valid and as long as its country's IBANs, else the match."""
+    lengths = F.create_map(*[F.lit(x) for n, lands in IBAN_LENGTHS.items() for c in sorted(lands) for x in (c, n)])
+    usual = F.element_at(lengths, F.substr(m, F.lit(1), F.lit(2)))
+    own = F.substr(m, F.lit(1), F.when(m.contains(" "), usual + F.floor((usual - 1) / 4).cast("int")).otherwise(usual))
+    valid = lambda v: _let(_kept(v, "A-Z0-9"), lambda s: (F.length(s) == usual) & (_mod97(F.concat(F.substr(s, F.lit(5), F.length(s)), F.substr(s, F.lit(1), F.lit(4)))) == 1))
+    border = ~F.substr(m, F.length(own) + 1, F.lit(1)).rlike("[A-Z0-9]")
+    return _let(F.when(border & valid(own), own), lambda v: F.coalesce(v, m))
+
+
 def _iban(m: Column, key: str) -> Column:
     def each(s):
         land, rest = F.substr(s, F.lit(1), F.lit(2)), F.substr(s, F.lit(5), F.length(s))
@@ -201,18 +234,46 @@ _SHAPES = {
 
 
 def _named(kind: str, m: Column):
-    return lambda p: F.struct(F.when(p.isNotNull(), F.lit(kind)).alias("kind"), F.coalesce(p, m).alias("to"))
+    return lambda p: F.struct(F.when(p.isNotNull(), F.lit(kind)).alias("kind"), F.coalesce(p, m).alias("to"), F.length(m).alias("n"))
+
+
+def _maker(kind: str, key: str):
+    return lambda v: _let(_MAKERS[kind](v, key), _named(kind, v))
 
 
 def _made(m: Column, key: str) -> Column:
-    """Struct of kind and pseudonym of a match; a value that is not valid stays, with kind null."""
-    out = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("to"))
+    """Struct of kind, pseudonym and length of what a match begins with; one that is not valid stays, with kind null."""
+    out = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("to"), F.length(m).alias("n"))
     for kind in reversed(KINDS):
-        made = _let(_MAKERS[kind](m, key), _named(kind, m))
+        made = _let(_iban_of(m), _maker(kind, key)) if kind == "iban" else _maker(kind, key)(m)
         out = F.when(m.rlike(_SHAPES[kind]), made).otherwise(out)
     return out
 
 
+def _chosen(found: Column) -> Column:
+    """Of pieces that begin with a match each, what is written for them: array of (kind, to).
+
+    From left to right; a valid match uses up what it covers, an invalid one nothing.
+    """
+    none = F.expr("cast(array() as array<struct<kind:string,to:string>>)")
+    after = lambda x, n: F.substr(x["piece"], n + 1, F.length(x["piece"]))
+    pick = lambda kind, to: F.struct(kind.alias("kind"), to.alias("to"))
+    nothing = F.lit(None).cast("string")
+    alone = lambda x: F.when(x["kind"].isNull(), pick(nothing, x["piece"])).otherwise(pick(x["kind"], F.concat(x["to"], after(x, x["n"]))))
+    start = F.struct(F.lit(0).alias("skip"), none.alias("out"))
+
+    def step(acc, x):
+        size = F.length(x["piece"])
+        inside = acc["skip"] > 0
+        used = F.when(inside, acc["skip"]).when(x["kind"].isNull(), 0).otherwise(x["n"])
+        own = F.when(inside, pick(nothing, after(x, acc["skip"]))).otherwise(alone(x))
+        return F.struct(F.greatest(used - size, F.lit(0)).alias("skip"), F.concat(acc["out"], F.array(own)).alias("out"))
+
+    # Only where a valid match reaches into the next piece does order matter.
+    reach = F.exists(found, lambda x: x["kind"].isNotNull() & (x["n"] > F.length(x["piece"])))
+    return F.when(reach, F.aggregate(found, start, step, lambda s: s["out"])).otherwise(F.transform(found, alone))
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in ``text_col``; ``found_col`` gets the kinds found, in order.
 
@@ -221,9 +282,14 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     texts of any length are read, one row at a time, without an exchange.
     """
     text = F.col(text_col)
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    rows = docs.withColumn("_found", F.when(text.rlike("[0-9@]"), F.transform(found, lambda m: _made(m, key))))
-    put = F.zip_with(F.split(text, ANY, -1), F.concat(F.transform("_found", lambda x: x["to"]), F.array(F.lit(""))), lambda piece, to: F.concat(piece, to))
+    found = F.regexp_extract_all(text, F.lit(AHEAD), F.lit(1))
+    rows = docs.withColumn("_made", F.when(text.rlike("[0-9@]"), F.transform(found, lambda m: _made(m, key))))
+    # Pieces begin where matches do; the first has none unless the text begins with one.
+    rows = rows.withColumn("_pieces", F.when(F.size("_made") > 0, F.split(text, AHEAD, -1)))
+    lead = F.size("_pieces") - F.size("_made")
+    pairs = F.zip_with("_made", F.slice("_pieces", lead + 1, F.size("_made")), lambda x, piece: F.struct(x["kind"].alias("kind"), x["to"].alias("to"), x["n"].alias("n"), piece.alias("piece")))
+    rows = rows.withColumn("_found", F.when(F.size("_made") > 0, _let(pairs, _chosen)))
+    put = F.concat(F.slice("_pieces", F.lit(1), lead), F.transform("_found", lambda x: x["to"]))
     rows = rows.withColumn("_new", F.when(F.size("_found") > 0, F.array_join(put, "")).otherwise(text))
     kinds = F.coalesce(F.filter(F.transform("_found", lambda x: x["kind"]), lambda k: k.isNotNull()), F.expr("cast(array() as array<string>)"))
     columns = [F.col("_new").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
