@@ -8,15 +8,18 @@ the same validation. Who holds the key can invert it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import let as _let
+from .shared import named, scan, unused
+
 ROUNDS = 8
-#: The patterns of each kind, in the order in which they are tried at a place.
+#: The patterns of each kind, in the order in which they are tried at a place. Every repeat is bounded, so
+#: that no text makes the matcher recurse deeply or start anew over long stretches; an address has 64 signs before the @
+#: and 127 labels behind it at most, as mail systems have it.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)*(?<=\.[A-Za-z-]{2,63})",
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,126}(?<=\.[A-Za-z-]{2,63})",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:(?:18|19|20|21)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/(?:18|19|20|21)[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.(?:18|19|20|21)[0-9]{2})(?![0-9/-])",
@@ -48,15 +51,12 @@ IBAN_LENGTHS = {
 32:LC
 33:RU""".split("\n"))
 }
+#: Country codes of telephone numbers: of one digit, of two, and all others of three.
+COUNTRY_CODE = r"^(\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}|[0-9]{0,2}))?"
 #: The calendar's cycle of 400 years has so many days, 189 * 773.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def _digest(key: str, tweak: str, turn: Column, half: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), turn.cast("string"), half.cast("string")), 256)
 
@@ -212,10 +212,10 @@ def _calendar(y: Column, m: Column, d: Column) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code after a plus stays."""
-    head = F.regexp_extract(m, r"^(\+[0-9]{1,3}(?=[ .(-])|\+)?", 0)
+    """The country code after a plus stays; the digits behind it are permuted, however they are written."""
+    head = F.regexp_extract(m, COUNTRY_CODE, 0)
     rest = F.substr(m, F.length(head) + 1, F.length(m))
-    return F.concat(head, _let(rest, lambda r: permute_text(r, key, "phone")))
+    return F.concat(head, _let(rest, lambda r: _laid_out(r, permute_text(_kept(r, "0-9"), key, "phone"), "0-9")))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -260,37 +260,41 @@ def _chosen(found: Column) -> Column:
     pick = lambda kind, to: F.struct(kind.alias("kind"), to.alias("to"))
     nothing = F.lit(None).cast("string")
     alone = lambda x: F.when(x["kind"].isNull(), pick(nothing, x["piece"])).otherwise(pick(x["kind"], F.concat(x["to"], after(x, x["n"]))))
-    start = F.struct(F.lit(0).alias("skip"), none.alias("out"))
 
     def step(acc, x):
-        size = F.length(x["piece"])
-        inside = acc["skip"] > 0
-        used = F.when(inside, acc["skip"]).when(x["kind"].isNull(), 0).otherwise(x["n"])
-        own = F.when(inside, pick(nothing, after(x, acc["skip"]))).otherwise(alone(x))
-        return F.struct(F.greatest(used - size, F.lit(0)).alias("skip"), F.concat(acc["out"], F.array(own)).alias("out"))
+        skip, size = acc["state"], F.length(x["piece"])
+        inside = skip > 0
+        used = F.when(inside, skip).when(x["kind"].isNull(), 0).otherwise(x["n"])
+        own = F.when(inside, pick(nothing, after(x, skip))).otherwise(alone(x))
+        return F.struct(F.greatest(used - size, F.lit(0)).alias("state"), F.concat(acc["out"], F.array(own)).alias("out"))
 
     # Only where a valid match reaches into the next piece does order matter.
     reach = F.exists(found, lambda x: x["kind"].isNotNull() & (x["n"] > F.length(x["piece"])))
-    return F.when(reach, F.aggregate(found, start, step, lambda s: s["out"])).otherwise(F.transform(found, alone))
+    return F.when(reach, scan(found, F.lit(0), none, step)["out"]).otherwise(F.transform(found, alone))
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in ``text_col``; ``found_col`` gets the kinds found, in order.
 
     Every row and column stays; null and empty texts stay as they are (nothing found).
-    What only looks like a number or date but fails its validation stays too. Whole
-    texts of any length are read, one row at a time, without an exchange.
+    What only looks like a number or date but fails its validation stays too. Telephone
+    numbers are linked however they are written, with or without a country code. Columns
+    may have any names; ``found_col`` must be a new one. Whole texts of any length are
+    read, one row at a time, in time linear in their length, without an exchange.
     """
-    text = F.col(text_col)
+    if found_col in docs.columns:
+        raise ValueError(f"there is a column {found_col} already")
+    made, pieces, chosen = unused(docs, "_made", "_pieces", "_chosen")
+    text = named(text_col)
     found = F.regexp_extract_all(text, F.lit(AHEAD), F.lit(1))
-    rows = docs.withColumn("_made", F.when(text.rlike("[0-9@]"), F.transform(found, lambda m: _made(m, key))))
+    rows = docs.withColumn(made, F.when(text.rlike("[0-9@]"), F.transform(found, lambda m: _made(m, key))))
     # Pieces begin where matches do; the first has none unless the text begins with one.
-    rows = rows.withColumn("_pieces", F.when(F.size("_made") > 0, F.split(text, AHEAD, -1)))
-    lead = F.size("_pieces") - F.size("_made")
-    pairs = F.zip_with("_made", F.slice("_pieces", lead + 1, F.size("_made")), lambda x, piece: F.struct(x["kind"].alias("kind"), x["to"].alias("to"), x["n"].alias("n"), piece.alias("piece")))
-    rows = rows.withColumn("_found", F.when(F.size("_made") > 0, _let(pairs, _chosen)))
-    put = F.concat(F.slice("_pieces", F.lit(1), lead), F.transform("_found", lambda x: x["to"]))
-    rows = rows.withColumn("_new", F.when(F.size("_found") > 0, F.array_join(put, "")).otherwise(text))
-    kinds = F.coalesce(F.filter(F.transform("_found", lambda x: x["kind"]), lambda k: k.isNotNull()), F.expr("cast(array() as array<string>)"))
-    columns = [F.col("_new").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    rows = rows.withColumn(pieces, F.when(F.size(made) > 0, F.split(text, AHEAD, -1)))
+    lead = F.size(pieces) - F.size(made)
+    pairs = F.zip_with(made, F.slice(pieces, lead + 1, F.size(made)), lambda x, piece: F.struct(x["kind"].alias("kind"), x["to"].alias("to"), x["n"].alias("n"), piece.alias("piece")))
+    rows = rows.withColumn(chosen, F.when(F.size(made) > 0, _let(pairs, _chosen)))
+    put = F.concat(F.slice(pieces, F.lit(1), lead), F.transform(chosen, lambda x: x["to"]))
+    new = F.when(F.size(chosen) > 0, F.array_join(put, "")).otherwise(text)
+    kinds = F.coalesce(F.filter(F.transform(chosen, lambda x: x["kind"]), lambda k: k.isNotNull()), F.expr("cast(array() as array<string>)"))
+    columns = [new.alias(c) if c == text_col else named(c) for c in docs.columns]
     return rows.select(*columns, *([kinds.alias(found_col)] if found_col else []))

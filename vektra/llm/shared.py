@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,15 +16,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; a
-    temporary one is set only where that is unset (local tests).
+    The folder is the one that the cluster names in ``spark.checkpoint.dir``. Where
+    that is unset, a temporary one is set in local mode only; on a cluster, whose
+    machines share no such folder, this is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vektra-ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vektra-ckpt-"))
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(column: str) -> Column:
+    """The column of exactly that name, whatever signs are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def scan(items: Column, state: Column, empty: Column, step: Callable[[Column, Column], Column], block: int = 512) -> Column:
+    """A fold over an array that gives out items on its way: struct (state, out).
+
+    ``step(acc, x)`` gives the next struct (state, out) from one of the same kind.
+    Arrays are copied as they grow, so what is given out grows within a block of
+    items first and is then put behind the earlier blocks': time is near linear.
+    """
+
+    def over(rows):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / block).cast("int")), lambda i: F.slice(rows, i * block + 1, F.lit(block)))
+        start = lambda s: F.struct(s.alias("state"), empty.alias("out"))
+
+        def each(acc, part):
+            return let(F.aggregate(part, start(acc["state"]), step), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], r["out"]).alias("out")))
+
+        return F.when(F.size(rows) > 0, F.aggregate(blocks, start(state), each)).otherwise(start(state))
+
+    return let(items, over)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model learns from: crc32 of the id as text leaves 2 on division by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -44,14 +90,18 @@ def bounded_sample(rows: DataFrame, key: str, label: str, per_class: int) -> Dat
 def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 20_000) -> DataFrame:
     """``(text, label)`` of a bounded, balanced sample of labelled rows that may be learnt from.
 
-    Training rows longer than ``most_chars`` are left out (of training only), so
-    that what reaches the driver is bounded by ``2 * per_class * most_chars``
-    characters. Ids that repeat with both labels give both rows.
+    Training rows longer than ``most_chars`` are left out (of training only). Ids that
+    repeat with both labels give both rows; of documents with one id only that with
+    the smallest text hash is learnt from. So there are ``2 * per_class`` rows at
+    most, and what reaches the driver is bounded by ``2 * per_class * most_chars``
+    characters.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).distinct()
     picked = bounded_sample(usable, "_id", "_y", per_class)
     mine = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).where(F.length("_text") <= most_chars)
-    return mine.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select(F.col("_text").alias("text"), F.col("_y").alias("label"))
+    met = mine.join(F.broadcast(picked), F.col("_doc") == F.col("_id"))
+    least = F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("t")))  # each task keeps one of an id's documents
+    return met.groupBy("_id", "_y").agg(least.alias("_m")).select(F.col("_m.t").alias("text"), F.col("_y").alias("label"))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
