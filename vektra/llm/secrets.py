@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import let as _let
+from .shared import scan as _scan
+
 #: The base kinds, as (kind, pattern, group to measure, least length of it).
 BASE = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -18,7 +21,9 @@ BASE = (
 #: Runs of these characters, so long, are judged by the Markov models.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST = 20
-CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % LEAST
+#: Characters of a run that are judged at a time; longer runs are judged in parts of so many.
+MOST = 1 << 16
+CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,%d}" % (LEAST, MOST)
 #: Mean log-likelihood ratio for each character pair (nats) from which a run counts as random.
 RATIO = 0.6
 #: Fall of a stretch's sum (nats) that ends it: half of what LEAST characters must reach.
@@ -115,17 +120,12 @@ def train(samples: DataFrame, token_col: str = "token", label_col: str = "label"
 
 def _pair_ratios(token: Column, model: list[float]) -> Column:
     """Log-likelihood ratio of each pair of neighbouring characters, as an array."""
-    n, table = len(ALPHABET), F.array(*[F.lit(x) for x in model])
+    n, table = len(ALPHABET), F.expr(f"array({', '.join(f'{x!r}D' for x in model)})")
     places = F.transform(F.split(token, "", F.length(token)), lambda c: F.instr(F.lit(ALPHABET), c))
     pair = lambda a, b: F.coalesce(F.get(table, ((a - 1) * n + b - 1).cast("int")), F.lit(0.0))
     return _let(places, lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p)), pair))
 
 
-def _let(value: Column, then) -> Column:
-    """``then(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def _mean(pairs: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / F.size(pairs)
 
@@ -185,31 +185,48 @@ def _spans(text: Column, pattern: str, kind: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.expr("cast(array() as array<struct<start:int,end:int,kind:string,match:string>>)")
     pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc, x):
-        a = acc["at"] + F.length(x["piece"])
+        a = acc["state"] + F.length(x["piece"])
         b = a + F.length(x["match"])
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), F.lit(kind).alias("kind"), x["match"].alias("match")))).alias("out"))
+        return F.struct(b.alias("state"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), F.lit(kind).alias("kind"), x["match"].alias("match")))).alias("out"))
 
     # The last piece has no match after it; zipping cuts it off by the shorter array.
-    zipped = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, p: F.struct(m.alias("match"), p.alias("piece")))
-    return F.when(F.size(found) > 0, F.aggregate(zipped, start, step)["out"]).otherwise(none)
+    zipped = _let(found, lambda f: F.zip_with(f, F.slice(pieces, 1, F.size(f)), lambda m, p: F.struct(m.alias("match"), p.alias("piece"))))
+    return F.when(text.rlike(pattern), _scan(zipped, F.lit(0), none, step)["out"]).otherwise(none)
 
 
 def _long_enough(pattern: str, group: int, least: int):
     return lambda s: F.length(F.regexp_extract(s["match"], pattern, group) if group else s["match"]) >= least
 
 
-def _without(run: Column, base: Column) -> Column:
-    """What base spans leave of a run: an array of (start, end, kind, match), LEAST characters or more each."""
-    part = lambda a, b: F.struct(a.alias("start"), b.alias("end"), run["kind"].alias("kind"), F.substr(run["match"], a - run["start"] + 1, b - a).alias("match"))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,kind:string,match:string>>)")
-    more = lambda s, to: F.when(to - s["at"] >= LEAST, F.concat(s["out"], F.array(part(s["at"], to)))).otherwise(s["out"])
-    start = F.struct(run["start"].alias("at"), none.alias("out"))
-    step = lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), more(s, b["start"]).alias("out"))
-    touching = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
-    return _let(touching, lambda t: F.when(F.size(t) == 0, F.array(run)).otherwise(F.aggregate(t, start, step, lambda s: more(s, run["end"]))))
+def _without(runs: Column, base: Column) -> Column:
+    """What base spans leave of runs: an array of (start, end, kind, match), LEAST characters or more each.
+
+    Runs and base spans are gone through together by their start. The state is the end
+    of the base spans so far and the run at hand, whose rest begins at ``at``.
+    """
+    span = "struct<start:int,end:int,kind:string,match:string>"
+    none = F.expr(f"cast(array() as array<{span}>)")
+    tagged = lambda own: lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s.alias("s"))
+    part = lambda run, a, b: F.struct(a.alias("start"), b.alias("end"), run["kind"].alias("kind"), F.substr(run["match"], a - run["start"] + 1, b - a).alias("match"))
+    state = F.struct(F.lit(0).alias("over"), F.lit(0).alias("at"), F.lit(None).cast(span).alias("run"))
+
+    def rest(s, to):
+        """What is left of the state's run up to a place, if it is long enough."""
+        return F.when(s["run"].isNotNull() & (to - s["at"] >= LEAST), F.array(part(s["run"], s["at"], to))).otherwise(none)
+
+    def step(acc, x):
+        s = acc["state"]
+        run, base_ = x["s"], x["s"]
+        before = F.when(s["run"].isNotNull(), F.when(x["own"] == 1, s["run"]["end"]).otherwise(F.least(s["run"]["end"], base_["start"])))
+        next_run = F.struct(s["over"].alias("over"), F.greatest(run["start"], s["over"]).alias("at"), run.alias("run"))
+        next_base = F.struct(F.greatest(s["over"], base_["end"]).alias("over"), F.greatest(s["at"], base_["end"]).alias("at"), s["run"].alias("run"))
+        return F.struct(F.when(x["own"] == 1, next_run).otherwise(next_base).alias("state"), F.concat(acc["out"], rest(s, before)).alias("out"))
+
+    both = F.array_sort(F.concat(F.transform(base, tagged(0)), F.transform(runs, tagged(1))))
+    cut = _let(_scan(both, state, none, step), lambda r: F.concat(r["out"], rest(r["state"], r["state"]["run"]["end"])))
+    return F.when(F.size(base) == 0, runs).otherwise(cut)
 
 
 def _random(run: Column, model: list[float], least_ratio: float) -> Column:
@@ -223,9 +240,10 @@ def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col:
 
     ``base``: by start, then kind as BASE lists them. ``added``: of kind
     ``markov``, what base spans leave of runs, where the models call it random: whole,
-    or the best stretches of LEAST characters or more. Null and
-    empty texts have no spans; null ids and repeated rows are kept; other columns are
-    not read. Work is one row at a time, with no exchange.
+    or the best stretches of LEAST characters or more. Runs of over MOST characters are
+    judged in parts of MOST. Null and empty texts have no spans; null ids and repeated
+    rows are kept; other columns are not read. Work is one row at a time, in time near
+    linear in the text's length, with no exchange.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
     kinds = []
@@ -237,7 +255,7 @@ def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col:
     keyed = F.transform(F.concat(*kinds), lambda s: F.struct(s["start"].alias("start"), F.element_at(place, s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind"), s["match"].alias("match")))
     rows = rows.withColumn("_b", F.array_sort(keyed))
     rows = rows.withColumn("base", F.transform("_b", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["match"].alias("match"))))
-    rows = rows.withColumn("_runs", F.flatten(F.transform(_spans(F.col("_t"), CANDIDATE, "markov"), lambda r: _without(r, F.col("base")))))
+    rows = rows.withColumn("_runs", _without(_spans(F.col("_t"), CANDIDATE, "markov"), F.col("base")))
     runs = F.flatten(F.transform("_runs", lambda r: _random(r, model, least_ratio)))
     return rows.select("doc_id", "base", runs.alias("added"))
 
