@@ -262,6 +262,19 @@ def test_values_next_to_other_tokens(spark):
         assert got[i].text == (t if i >= 8 else t.replace(card, got[0].text).replace(iban, got[1].text))
 
 
+def test_numbers_are_linked_over_layouts_and_names_stay(spark):
+    same = ["+1 415 555 2671", "+1-415-555-2671", "+14155552671", "+1 (415) 555-2671", "(415) 555-2671", "415.555.2671"]
+    rows = docs(spark, list(enumerate(same))).withColumns({c: F.lit(c) for c in ("_found", "_new", "_made", "_pieces", "a`b", "A.b")})
+    got = pii.pseudonymise(rows, "key", found_col="kinds")
+    assert got.columns == [*rows.columns, "kinds"]
+    out = got.orderBy("doc_id").collect()
+    digits = [re.sub("[^0-9]", "", r.text)[-10:] for r in out]
+    assert len(set(digits)) == 1 and digits[0] != "4155552671" and out[0].text.startswith("+1 ")
+    assert all(r[c] == c for r in out for c in ("_found", "_new", "_made", "_pieces", "a`b", "A.b"))
+    with pytest.raises(ValueError):
+        pii.pseudonymise(rows, "key", found_col="_found")
+
+
 def test_permutations_are_bijections(spark):
     numbers = spark.range(898 * 7).select(pii.permute_number(F.col("id"), (898, 7), "k", "t").alias("p"))
     assert numbers.distinct().count() == 898 * 7 and numbers.agg(F.min("p"), F.max("p")).first() == (0, 898 * 7 - 1)
@@ -419,15 +432,52 @@ def test_packing_is_whole_and_unpadded(spark):
     for _, s in full:
         assert list(s.offset) == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= 1024
         assert int(s.length.sum()).bit_count() == 1  # full, or unpadded at a power of two
+    assert len(got) <= len(rows) + got.length.sum() // 1024 + 3 * 80  # a cut for each sequence, and those of each task's end
     assert got.doc_id.isna().sum() > 0 and packing.pack(docs(spark, []), path).count() == 0
     with pytest.raises(ValueError):
         packing.pack(docs(spark, []), path, capacity=1000)
 
 
-def test_cut_lengths():
-    for n in (1, 2, 1023, 1024, 1025, 5000):
-        parts = packing.cut_lengths(n)
-        assert sum(parts) == n and all(p.bit_count() == 1 and p <= 1024 for p in parts)
+def test_harmonic_classes():
+    for length in range(1, 1025):
+        k = packing.class_of(length)
+        assert 1024 // (k + 1) < length <= 1024 // k or (length > 1024 / (k + 1) and length <= 1024 / k)
+    rng = np.random.default_rng(3)
+    bins = packing.Bins(1024, 0, True)
+    sizes = rng.integers(1, 3000, 3000).tolist() + [1] * 5000 + [1024] * 5
+    for i, n in enumerate(sizes):
+        bins.add(i, np.arange(n, dtype="<u4"))
+        assert sum(len(p[2]) for b in bins.open.values() for p in b) <= 64 * 1024 and len(bins.short) < 64
+        assert all(len(b) < k for k, b in bins.open.items())
+    bins.finish()
+    rows = np.array([r[:7] for r in bins.out])
+    assert rows[:, 2].sum() == sum(sizes) and len(rows) <= len(sizes) + sum(sizes) // 1024 + 5000 // 1024 + 80
+    used = np.bincount(rows[:, 5], rows[:, 2]).astype(int)
+    assert ((used & (used - 1)) == 0).all() and (used < 1024).sum() <= 10
+
+
+def test_long_texts_in_linear_time(spark):
+    """Texts that overflow or slow down matchers: long runs of white space, letters, base64, labels and matches."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(9)
+    blob = "".join(rng.choice(list(secrets.ALPHABET[:64]), 300_000))
+    texts = ["\n" * 2_000_000, "x" + " " * 2_000_000 + "y", "a@" + "a." * 1_000_000 + "com", blob, "word" * 500_000, "a." * 300_000 + "@x.com", "2024-02-03 4111 1111 1111 1111 " * 20_000, "password=abcdef0123 " * 20_000 + blob[:70_000], "-" * 300_000 + "jo@example.com" + "-" * 300_000]
+    rows = docs(spark, list(enumerate(texts)), extra=False).repartition(4).cache()
+    began = time.perf_counter()
+    hidden = {r.doc_id: r for r in pii.pseudonymise(rows, "key", found_col="found").collect()}
+    assert hidden[2].text == texts[2] and hidden[5].found == ["email"] and len(hidden[6].found) == 40_000 and hidden[8].found == ["email"]
+    assert hidden[4].text == texts[4] and len(hidden[8].text) == len(texts[8])
+    model = secrets.train(secrets.labelled_samples(spark))
+    found = {r.doc_id: r for r in secrets.scan(rows, model).collect()}
+    assert sum(s.end - s.start for s in found[3].added) > 270_000 and len(found[7].base) >= 20_000 and len(found[7].added) >= 1
+    assert not found[0].added and not found[4].added
+    ids = packing.pack(rows, public_tokenizers.path("byte_bpe_50k.json")).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    real = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {r.doc_id: r.n for r in ids} == {i: len(real.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    assert time.perf_counter() - began < 200
 
 
 SP_TEXTS = ["Hello  world", " a b ", "ﬁ １２ Ａ", "x\ny\tz", "日本😀", "", "   ", "<s> hi </s>", "<0x41> <unk>", "▁x ▁▁ y", "a   b    c", "x" * 3000, "é è\u00a0ñ", "nul\x00byte"]
