@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vektra.llm import copies, packing, pii, quality, toxicity
-from vektra.llm.shared import cut, table
+from vektra.llm.shared import cut, table, unused
 
 #: The key of the pseudonyms; a real run passes its own.
 KEY = "vektra"
@@ -37,9 +37,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for personal data; n_chars follows the text."""
-    hidden = pii.pseudonymise(docs, KEY, found_col="_found")
-    length = F.when(F.size("_found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return hidden.withColumn("n_chars", length).drop("_found")
+    (found,) = unused(docs, "_found")
+    hidden = pii.pseudonymise(docs, KEY, found_col=found)
+    length = F.when(F.size(found) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return hidden.withColumn("n_chars", length).drop(found)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
