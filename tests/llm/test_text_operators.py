@@ -1,10 +1,12 @@
 """Text operators against brute force, with nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import hashlib
+import os
 import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -494,11 +496,34 @@ def test_pieces_equal_sentencepiece(spark):
     assert len(got) == len(rows)
     for r in got:
         text = " " * 4000 if r.doc_id == 91 else "" if r.doc_id == 90 else "x" if r.doc_id is None else SP_TEXTS[r.doc_id]
-        assert r.ids == real.encode(text) and r.n_ids == len(r.ids) and r.round_trip
-        assert r.parity or r.doc_id == 91
+        assert r.ids == real.encode(text) and r.n_ids == len(r.ids) and r.round_trip and r.parity
     back = pieces.decode(pieces.encode(docs(spark, rows), data, with_ids=True), data).collect()
     assert {r.doc_id: r.text for r in back if r.doc_id in range(90)} == {i: real.decode(real.encode(t)) for i, t in enumerate(SP_TEXTS)}
     assert pieces.encode(docs(spark, []), data).count() == 0
+    holes = spark.createDataFrame([(1, [real.encode("Hello")[0], None]), (2, None), (3, [])], "doc_id long, ids array<long>")
+    assert {r.doc_id: r.text for r in pieces.decode(holes, data).collect()} == {1: "Hello", 2: None, 3: ""}
+
+
+def test_pieces_verify_words_and_normal_forms():
+    """Ids are the rebuilt pipeline's, parity is what SentencePiece's whole-text encoding says."""
+    from sentencepiece import SentencePieceProcessor
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        data = f.read()
+    real, encoder = SentencePieceProcessor(model_proto=data), pieces.Encoder(data)
+    texts = [pad + " " * n + end for n in range(60) for pad in ("", "x") for end in ("", "y", "\n", "12")] + SP_TEXTS + ["=" * n for n in range(50)]
+    if os.path.isdir("/root/testdata/sf0.001"):
+        texts += [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]
+    got, same = encoder.encode(texts, True)
+    assert all(same) and all(g.tolist() == real.encode(t) for g, t in zip(got, texts))
+    encoder.words["▁Hello"] = np.array([5], "<u4").tobytes()
+    encoder.wrong.add("▁Hello")
+    got, same = encoder.encode(["Hello there", "there"], True)
+    assert got[0][0] == 5 and same == [False, True]
+    broken = pieces.Encoder(data)
+    broken.core.model = type(broken.core.model)({p: i for i, (p, _, _) in enumerate(broken.model.pieces)}, [], byte_fallback=True)
+    got, same = broken.encode(["Hello there", "é"], True)
+    assert same == [g.tolist() == real.encode(t) for g, t in zip(got, ["Hello there", "é"])] and not same[0]
 
 
 def proto(fields):

@@ -2,8 +2,8 @@
 
 The model's protobuf is read here; its normaliser, space marker, scores and byte
 fallback are rebuilt as a tokenizers pipeline: a unigram model takes the scores as they
-are, a BPE model takes them as the order of its merges. Results equal SentencePiece's,
-which ``parity`` verifies.
+are, a BPE model takes them as the order of its merges. All ids come from that
+pipeline; ``parity`` verifies for every text that SentencePiece gives the same.
 """
 
 from __future__ import annotations
@@ -96,14 +96,21 @@ def parse(data: bytes) -> Model:
 
 
 def _merges(model: Model) -> list[tuple[str, str]]:
-    """Pairs of pieces that make a piece, best score first, ties in the order of the file."""
+    """Pairs of pieces that make a piece, best score first.
+
+    SentencePiece merges the leftmost of pairs with equal scores; here pairs have a
+    rank of their own. Pairs of equal halves first, short ones before long ones, then
+    those with the longest left part come to the same for runs of one character,
+    which is where pieces of equal score meet (runs of spaces).
+    """
     usable = {p: i for i, (p, _, kind) in enumerate(model.pieces) if kind in (NORMAL, USER, UNUSED)}
     found = []
     for piece, i in usable.items():
         for at in range(1, len(piece)):
-            left, right = usable.get(piece[:at]), usable.get(piece[at:])
-            if left is not None and right is not None:
-                found.append((-model.pieces[i][1], left, right, piece[:at], piece[at:]))
+            left, right = piece[:at], piece[at:]
+            if left in usable and right in usable:
+                halves = left == right
+                found.append((-model.pieces[i][1], not halves, at if halves else -at, usable[left], usable[right], left, right))
     return [(a, b) for *_, a, b in sorted(found)]
 
 
@@ -155,7 +162,7 @@ class Encoder:
     def __init__(self, data: bytes, kept: int = KEPT_WORDS):
         from tokenizers import Tokenizer
 
-        self.model, self.whole, self.kept, self.words = parse(data), build(data), kept, {}
+        self.data, self.model, self.whole, self.kept, self.words, self.wrong = data, parse(data), build(data), kept, {}, set()
         self.by_word = self.whole.pre_tokenizer is not None and not any(kind == USER for _, _, kind in self.model.pieces)
         self.core = Tokenizer(self.whole.model)
         self.plain = not self.model.charsmap and not self.model.remove_extra
@@ -170,17 +177,43 @@ class Encoder:
             return _SEGMENT.findall(flat)
         return [w for w in flat.replace(MARK, "\0" + MARK).split("\0") if w]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str], verify: bool = False) -> tuple[list[np.ndarray], list[bool | None]]:
+        """Ids of each text, and whether SentencePiece gives the same (None unless verified).
+
+        Where words are encoded one by one, each distinct word is verified once and each
+        text's normal form besides: no piece reaches over a word's border in either
+        library, so a text's ids are those of its words.
+        """
         if not self.by_word:
-            got = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-            return [np.array(g if t else [], "<u4") for g, t in zip(got, texts)]
+            got = [np.array(e.ids if t else [], "<u4") for e, t in zip(self.whole.encode_batch_fast(texts, add_special_tokens=False), texts)]
+            return got, self._whole_texts(texts, got) if verify else [None] * len(texts)
         split = [self._split(t) for t in texts]
         if len(self.words) > self.kept:
             self.words.clear()
+            self.wrong.clear()
         fresh = list(set().union(*split).difference(self.words))
-        for word, got in zip(fresh, self.core.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.words[word] = np.array(got.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, ws)), "<u4") for ws in split]
+        ids = [e.ids for e in self.core.encode_batch_fast(fresh, add_special_tokens=False)]
+        for word, own in zip(fresh, ids):
+            self.words[word] = np.array(own, "<u4").tobytes()
+        got = [np.frombuffer(b"".join(map(self.words.__getitem__, ws)), "<u4") for ws in split]
+        if not verify:
+            return got, [None] * len(texts)
+        if not (self.plain and self.model.dummy_prefix):
+            return got, self._whole_texts(texts, got)
+        judge = _judge(self.data)
+        # The marker that begins a word is the one that SentencePiece puts before a text.
+        theirs = judge.encode([w[1:].replace(MARK, " ") for w in fresh], num_threads=1)
+        if MARK in fresh:  # SentencePiece puts no marker before an empty text, so this word is read off the end of another
+            theirs[fresh.index(MARK)] = judge.encode("a ")[len(judge.encode("a")) :]
+        self.wrong.update(w for w, a, b in zip(fresh, ids, theirs) if a != b)
+        same = [judge.normalize(t) == (MARK + t.replace(" ", MARK) if t else "") for t in texts]
+        if self.wrong:
+            same = [ok and self.wrong.isdisjoint(ws) for ok, ws in zip(same, split)]
+        return got, same
+
+    def _whole_texts(self, texts: list[str], got: list[np.ndarray]) -> list[bool]:
+        theirs = _judge(self.data).encode(texts, num_threads=1)
+        return [a.tolist() == b for a, b in zip(got, theirs)]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, put together from the pieces' bytes."""
@@ -201,12 +234,11 @@ def encode(docs: DataFrame, data: bytes, id_col: str = "doc_id", text_col: str =
 
     ``data``: the model file. ``round_trip``: decoding gives the text itself, or what
     SentencePiece's decoding gives (a normaliser may change texts). ``parity``: the ids
-    equal SentencePiece's (null unless verified); where they do not, SentencePiece's are
-    given. Known to differ: runs of thousands of spaces, as merges of equal score are
-    ordered by pair here and by place there. A null text counts as empty and has no ids;
-    null ids and repeated rows stay; an empty table gives no rows; other columns are not
-    read. Batches are encoded by the library's own threads, a bounded number of
-    characters at a time; there is no exchange.
+    equal SentencePiece's (null unless verified); the ids are the rebuilt pipeline's in
+    any case. A null text counts as empty and has no ids; null ids and repeated rows
+    stay; an empty table gives no rows; other columns are not read. Batches are encoded
+    by the library's own threads, a bounded number of characters at a time; there is no
+    exchange.
     """
     names = ["doc_id", "n_ids", "ids_crc32", "round_trip", "parity", *["ids"] * with_ids]
 
@@ -215,12 +247,7 @@ def encode(docs: DataFrame, data: bytes, id_col: str = "doc_id", text_col: str =
         encoder, judge = encoder_of(data), _judge(data) if parity else None
 
         def rows(ids, texts):
-            got = encoder.encode(texts)
-            same = [None] * len(got)
-            if judge:
-                theirs = [np.array(x, "<u4") for x in judge.encode(texts, num_threads=1)]
-                same = [np.array_equal(a, b) for a, b in zip(got, theirs)]
-                got = theirs
+            got, same = encoder.encode(texts, parity)
             trip = []
             for t, g in zip(texts, got):
                 back = encoder.decode(g)
@@ -245,13 +272,13 @@ def encode(docs: DataFrame, data: bytes, id_col: str = "doc_id", text_col: str =
 
 
 def decode(rows: DataFrame, data: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``(doc_id, text)`` from ids, one row per row; null ids give a null text."""
+    """``(doc_id, text)`` from ids, one row per row; a null list gives a null text, nulls in a list are skipped."""
 
     def run(batches):
         tokenizer = build(data)
         for batch in batches:
             ids = batch.column(1).to_pylist()
-            texts = iter(tokenizer.decode_batch([x for x in ids if x is not None], skip_special_tokens=False))
+            texts = iter(tokenizer.decode_batch([[i for i in x if i is not None] for x in ids if x is not None], skip_special_tokens=False))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else next(texts) for x in ids], pa.string())], names=["doc_id", "text"])
 
     return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<long>").alias("ids")).mapInArrow(run, "doc_id long, text string")
