@@ -1,6 +1,5 @@
 """Vector operators against brute force."""
 
-import heapq
 import itertools
 
 import numpy as np
@@ -35,18 +34,23 @@ def clean(n=600, dim=16, seed=0):
 def test_perturbations_come_in_order_of_cost():
     near = np.array([0.1, 0.45, 0.8])
     cost = lambda s: sum(n**2 if d < 0 else (1 - n) ** 2 if d > 0 else 0 for n, d in zip(near, s))
-    got = [tuple(s) for s in ann.perturbations(near, 27)]
+    got = [tuple(s) for s in ann.perturbations(near[None], 27)[0]]
     every = sorted(itertools.product((-1, 0, 1), repeat=3), key=cost)
     assert sorted(got) == sorted(every) and np.allclose([cost(s) for s in got], [cost(s) for s in every])
-    assert heapq is not None
+    some = np.random.default_rng(4).random((50, 8))
+    for row, steps in zip(some, ann.perturbations(some, 40)):
+        costs = [sum(row[j] ** 2 if d < 0 else (1 - row[j]) ** 2 if d > 0 else 0 for j, d in enumerate(s)) for s in steps]
+        assert len({tuple(s) for s in steps}) == 40 and costs == sorted(costs)
+        best = sorted(sum(row[j] ** 2 if d < 0 else (1 - row[j]) ** 2 if d > 0 else 0 for j, d in enumerate(s)) for s in itertools.product((-1, 0, 1), repeat=8))[:40]
+        assert np.mean(costs) <= 1.05 * np.mean(best)
 
 
-@pytest.mark.parametrize("full", [50_000, 20])
-def test_neighbours(spark, full):
+@pytest.mark.parametrize("sizes", [{}, {"part": 100, "chunk": 30, "block": 5}])
+def test_neighbours(spark, sizes):
     x = clean()
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + BAD + [(5, x[5].tolist(), 0)]
     df = frame(spark, rows)
-    got = ann.search(df, df.where("vec_id % 50 = 0"), 5, full=full).collect()
+    got = ann.search(df, df.where("vec_id % 50 = 0"), 5, **sizes).collect()
     y = unit(x.astype(np.float64))
     ids = np.arange(len(x))
     found = {}
@@ -121,6 +125,47 @@ def test_links_where_few_components_are_strong(spark, scale):
     assert [r.n_links for r in caps.near_duplicates(frame(spark, rows)).collect()] == [1] * 400
 
 
+def test_scores_are_of_double_components(spark):
+    """Components beyond single precision, and rows of other lengths than most have."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8)) * 1e60
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(100 + i, [1.0, 2.0], 0) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(7)
+    y = unit(x / 1e60)
+    for r in ann.search(df, df.where("vec_id % 50 = 0"), 5).collect():
+        assert r.vec_id < 100 and abs(r.score - y[r.query_id] @ y[r.vec_id]) < 1e-14
+    close = x[:20] * (1 + 1e-13 * np.arange(8))
+    twice = df.where("vec_id < 100").union(spark.createDataFrame([(200 + i, v.tolist(), 0) for i, v in enumerate(close)], df.schema))
+    got = {r.vec_id: r for r in caps.near_duplicates(twice).collect()}
+    assert all(got[200 + i].component_id == i and got[i].n_links == 1 for i in range(20)) and all(got[i].n_links == 0 for i in range(20, 60))
+
+
+def test_sketches_rule_out_no_link():
+    rng = np.random.default_rng(7)
+    for scale in (np.ones(64), np.arange(1, 65) ** -1.5):
+        x = unit(rng.normal(size=(4000, 64)) * scale)
+        y = unit(x + 0.2 * unit(rng.normal(size=x.shape) * scale))
+        linked = (x * y).sum(1) >= 0.98
+        assert linked.sum() > 500
+        for longs in (1, 2, 4):
+            a, b = (caps.sketch(v, longs).view(np.int8).astype(np.float32) for v in (x, y))
+            near = caps._apart(a, b) <= caps.sketch_limit(0.98, longs)
+            assert near[linked].all()
+    far = unit(rng.normal(size=(4000, 64)))
+    a = caps.sketch(far, 2).view(np.int8).astype(np.float32)
+    assert (caps._apart(a[:2000], a[2000:]) <= caps.sketch_limit(0.98, 2)).mean() < 0.01
+
+
+def test_many_vectors_decode_as_one(monkeypatch):
+    x = unit(np.random.default_rng(1).normal(size=(300, 64)))
+    x[:20, 3:] = 0
+    x = unit(x)
+    for code, bound, top in ((caps.codes(64, 2, 64), 0.3, 40), (caps.codes(64, 2, 64), 0.3, 21), (caps.codes(64, 3, 8), 0.3, 40)):
+        of, number = caps.decode_all(x, code, bound, top=top)
+        for i, v in enumerate(x):
+            assert sorted(number[of == i].tolist()) == caps.decode(v, code, bound).tolist()
+
+
 def test_decoding_finds_all_filters():
     code = caps.codes(16, 2, 20)
     x = unit(np.random.default_rng(1).normal(size=(20, 16)))
