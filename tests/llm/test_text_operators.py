@@ -76,8 +76,8 @@ def test_embedding_bounds_hamming():
     assert (np.abs(counts(a[:200]) - counts(b[:200])).sum(1) == lower[:200]).all()
 
 
-@pytest.mark.parametrize("chunk", [32_768, 5])
-def test_links_equal_brute_force(spark, chunk):
+@pytest.mark.parametrize("chunk,groups", [(32_768, None), (5, 7), (32_768, 9)])
+def test_links_equal_brute_force(spark, chunk, groups):
     """Random fingerprints with planted neighbours; a small chunk sends full cells down the path for hot ones."""
     rng = np.random.default_rng(3)
     base = rng.integers(-(2**62), 2**62, 60)
@@ -90,7 +90,7 @@ def test_links_equal_brute_force(spark, chunk):
             fps.add(y)
     fps = sorted(fps)
     prints = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, node long")
-    links = simhash.near_links(prints, chunk=chunk)
+    links = simhash.near_links(prints, groups=groups, chunk=chunk)
     pairs = {tuple(sorted((r.a, r.b))) for r in links.collect()}
     near = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 4
     assert all(near(fps[a], fps[b]) for a, b in pairs)
@@ -138,12 +138,37 @@ def test_near_copies_equal_brute_force(spark):
     group = brute_components(sets, alike)
     want = sorted(min(i for i in range(len(texts)) if group[i] == g) for g in set(group))
     rows = [(i, t) for i, t in enumerate(texts)]
-    kept = copies.survivors(docs(spark, rows + [rows[0], (None, texts[0])]))
+    kept = simhash.survivors(docs(spark, rows + [rows[0], (None, texts[0])]), near=copies.NEAR)
     assert kept.columns == ["doc_id", "text", *EXTRA]
     assert sorted(r.doc_id for r in kept.collect()) == want
     far = [bin(simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).count("1") for i in range(96) for j in range(i) if alike(sets[i], sets[j])]
     assert max(far) > simhash.RADIUS
-    assert copies.survivors(docs(spark, [])).count() == 0
+    assert simhash.survivors(docs(spark, []), near=copies.NEAR).count() == 0
+    found = {r.id: r.group for r in simhash.alike(docs(spark, rows).repartition(5)).collect()}
+    pairs = {(found[i], group[i]) for i in range(len(texts))}
+    assert len(pairs) == len(set(found.values())) == len(set(group))
+    clashing = docs(spark, rows[:5]).withColumns({"_row": F.lit(1), "_first": F.lit(2)})
+    assert simhash.survivors(clashing, near=copies.NEAR).columns == clashing.columns
+
+
+def test_sets_meet_wherever_tasks_end(spark):
+    """Every shared prefix shingle of two sets is kept, and neighbours but those over a task's border are paired."""
+    rng = np.random.default_rng(1)
+    rows = [(k, 10, sorted(rng.choice(60, 4, replace=False).tolist())) for k in range(80)] + [(1000 + k, 10, [500 + k]) for k in range(50)]
+    frame = spark.createDataFrame(rows, "key long, n long, first array<long>")
+    for n in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        met = copies.meeting(frame).collect()
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        by = {}
+        for k, _, first in rows:
+            for at, s in enumerate(first):
+                by.setdefault(s, []).append((k, at))
+        want = {(s, k, at) for s, ks in by.items() if len(ks) > 1 for k, at in ks}
+        assert want <= {(r.s, r.key, r["at"]) for r in met} and len(met) <= len(want) + 2 * n
+        pairs = {(r.s, r.key0, r.key) for r in met if r.key0 is not None}
+        every = {(s, a, b) for s, ks in by.items() for (a, _), (b, _) in zip(sorted(ks), sorted(ks)[1:])}
+        assert pairs <= every and len(pairs) >= len(every) - n
 
 
 def test_components_of_a_chain(spark):

@@ -1,4 +1,4 @@
-"""Near copies by word shingles: exact set-similarity join with prefix filters.
+"""Word-shingle sets: what near-duplicate stages verify on, and an exact similarity join by prefix filters.
 
 A text is its set of shingles, their hashes in one order that all texts share, rare
 ones first. Two sets with a Jaccard similarity of 4/5 or more have a shingle in
@@ -14,8 +14,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut
-
 SEED = 42
 #: Words of a shingle, and the least similarity as a fraction.
 WIDTH, NEAR = 5, (4, 5)
@@ -23,8 +21,8 @@ WIDTH, NEAR = 5, (4, 5)
 SAMPLE, OFTEN, MOST_OFTEN = 10_000, 3, 200_000
 
 
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Distinct hashes of a text's shingles, ascending; of all its words where these are fewer."""
+def hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Hashes of a text's shingles, repeats included; of all its words where these are fewer."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
@@ -34,7 +32,7 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     stops = (ends[width - 1 :] - 1).tolist()
     starts = [0, *ends[: len(ends) - width].tolist()]
-    return np.unique(np.fromiter((digest(flat[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(starts)))
+    return np.fromiter((digest(flat[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(starts))
 
 
 def prefix(found: np.ndarray, often: np.ndarray, times: np.ndarray, near: tuple[int, int] = NEAR) -> np.ndarray:
@@ -47,14 +45,14 @@ def prefix(found: np.ndarray, often: np.ndarray, times: np.ndarray, near: tuple[
     return found[np.lexsort((found, rank))][: n - -(-near[0] * n // near[1]) + 1]
 
 
-def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles of a bounded sample of rows, ascending, and how often each is there."""
+def frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of a bounded sample of rows ``(text, hash)``, ascending, and how often each is there."""
     one_in = max(1, texts.count() // SAMPLE)
 
     def run(batches):
         for batch in batches:
             for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), width).view(np.int64))], names=["s"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes(t.as_py(), width)).view(np.int64))], names=["s"])
 
     some = texts.where(F.pmod("hash", F.lit(one_in)) == 0).select("text").mapInArrow(run, "s long")
     rows = some.groupBy("s").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "s").limit(MOST_OFTEN).toPandas()
@@ -63,8 +61,8 @@ def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return often[order], rows["count"].to_numpy(np.int64)[order]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, near: tuple[int, int]) -> DataFrame:
-    """Those of the pairs whose whole sets are similar enough."""
+def verified(pairs: DataFrame, sets: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
+    """Those of the pairs ``(a, b)`` whose whole sets ``(key, set)`` are similar enough."""
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches):
@@ -79,76 +77,74 @@ def _verified(pairs: DataFrame, sets: DataFrame, near: tuple[int, int]) -> DataF
     return both.mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, near: tuple[int, int] = NEAR) -> DataFrame:
-    """``(id, hash, group)``, one row per row of ``docs``; ``hash`` is one of the text as it is.
+def _may_be_near(near: tuple[int, int], one: str, two: str):
+    """Whether two sets, by their sizes n and the place ``at`` of a shared prefix shingle, may be as similar as ``near``."""
+    up, down = near
+    n1, n2, at1, at2 = (F.col(c + i) for c in ("n", "at") for i in (one, two))
+    # What two sets may still share from their first common shingle on.
+    rest = F.least(n1 - at1, n2 - at2) * (up + down) >= (n1 + n2) * up
+    return rest & (F.least(n1, n2) * down >= F.greatest(n1, n2) * up)
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """``(s, n, at, key, n0, at0, key0)``: each set's places in prefix shingles that it shares, and the set before it there.
 
-    Texts with a similarity of ``near`` or more are linked, a group is all that links
-    reach. Equal sets are one node from the start. Of pairs that meet, each node's
-    with its smallest partner are verified first, then those that still lie in
-    different groups, so a large group does not cost all its pairs. Null and empty
-    texts have the empty set.
+    ``rows``: distinct ``(key, n, first)``. Sets of one shingle come in the order of their
+    sizes, so a set's neighbour is the likeliest to be like it. Rows are dealt by range,
+    so a very frequent shingle's are spread; at a task's borders rows stay even where
+    they seem alone, and the first has no neighbour.
     """
-    up, down = near
-    text = F.col(text_col).cast("string")
-    mine = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    often, times = _frequent(mine, width)
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((often, times))
+    posts = rows.select("n", "key", F.posexplode("first").alias("at", "s")).select("s", "n", F.col("at").cast("long").alias("at"), "key")
+    names = ["s", "n", "at", "key", "n0", "at0", "key0"]
 
     def run(batches):
-        for batch in batches:
-            keys, sizes, firsts = [], [], []
-            for t in batch.column(2):
-                found = shingles(t.as_py(), width)
-                keys.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
-                sizes.append(len(found))
-                firsts.append(prefix(found, *shared.value, near).view(np.int64))
-            arrays = [batch.column(0), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "hash", "key", "n", "first"])
-
-    rows = cut(mine.mapInArrow(run, "id long, hash long, key long, n long, first array<long>"))
-    posts = rows.dropDuplicates(["key"]).select("key", "n", F.posexplode("first").alias("at", "s")).repartition("s")
-    left, right = (posts.select("s", *[F.col(c).alias(c + i) for c in ("key", "n", "at")]) for i in "12")
-    total = F.col("n1") + F.col("n2")
-    size = F.least("n1", "n2") * down >= F.greatest("n1", "n2") * up
-    # What two sets may still share from their first common shingle on.
-    rest = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) * (up + down) >= total * up
-    met = left.join(right, "s").where((F.col("key1") < F.col("key2")) & size & rest)
-    pairs = cut(met.select(F.col("key1").alias("a"), F.col("key2").alias("b")).distinct())
-    if pairs.isEmpty():
-        return rows.select("id", "hash", F.col("key").alias("group"))
+        held = None  # the last row so far: its columns and those of the one before it (None at the task's first)
+
+        def given(columns, before, others, keep):
+            arrays = [pa.array(c) for c in columns] + [pa.array(c, mask=~before) for c in others]
+            return pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(keep))
 
-    def whole(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())], names=["key", "set"])
-
-    need = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    one = rows.join(need, "key").groupBy("key").agg(F.min(F.struct("id", "hash")).alias("row"))
-    texts = mine.select(F.struct("id", "hash").alias("_row"), "text").join(one, F.col("_row").eqNullSafe(F.col("row"))).dropDuplicates(["key"])
-    sets = cut(texts.select("key", "text").mapInArrow(whole, "key long, set binary"))
-    star = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = cut(_verified(star, sets, near))
-    comp = components(links)
-    apart = pairs.join(star, ["a", "b"], "left_anti")
-    for c in ("a", "b"):
-        apart = apart.join(comp.select(F.col("node").alias(c), F.col("component").alias("of_" + c)), c, "left")
-    apart = apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    more = cut(_verified(apart, sets, near))
-    if not more.isEmpty():
-        comp = components(links.union(more))
-    return rows.join(comp.withColumnRenamed("node", "key"), "key", "left").select("id", "hash", F.coalesce("component", "key").alias("group"))
-
-
-def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that near-copy removal leaves, with all their columns.
-
-    Of each group the row with the smallest id stays, rows with null ids last; of rows
-    with one id the one whose text hashes smallest, of equal rows any one.
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                columns = [np.concatenate([h, c]) for h, c in zip(held[0], columns)]
+            same = columns[0][1:] == columns[0][:-1]
+            before = np.append(held is not None and held[1], same)
+            others = [np.append(held[2][i] if held is not None else 0, c[:-1]) for i, c in enumerate(columns[1:])]
+            keep = before | np.append(same, False)
+            keep[0] |= held is None
+            keep[-1] = False  # given out when it is known what follows
+            edge = held is not None and held[3]
+            keep[0] |= edge and len(keep) > 1
+            yield given(columns, before, others, keep)
+            held = [c[-1:] for c in columns], bool(before[-1]), [c[-1] for c in others], (held is None or edge) and len(keep) == 1
+        if held is not None:
+            yield given(held[0], np.array([held[1]]), [np.array([c]) for c in held[2]], np.array([True]))
+
+    dealt = posts.repartitionByRange("s", "n", "key").sortWithinPartitions("s", "n", "key")
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def neighbours(met: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
+    """Pairs ``(a, b)`` of sets that come after each other in a shingle and may be as similar as ``near``."""
+    pairs = met.where("key0 is not null").withColumnsRenamed({"n": "n1", "at": "at1"}).where(_may_be_near(near, "0", "1"))
+    return pairs.select(F.col("key0").alias("a"), F.col("key").alias("b"))
+
+
+def apart(met: DataFrame, comp: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
+    """Pairs ``(a, b)`` that meet in a shingle, may be as similar as ``near`` and lie in different components.
+
+    ``met``: what ``meeting`` gives; ``comp``: ``(node, component)`` of what is linked
+    already. In a shingle where nearly all sets lie in one component, only the others
+    are paired, so a large group that hangs together costs no pairs.
     """
-    named = docs.withColumn("_row", F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash")))
-    found = groups(docs, id_col, text_col, **options)
-    first = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("f"))
-    kept = named.join(first.select(F.struct("f.id", "f.hash").alias("_first")), F.col("_row").eqNullSafe(F.col("_first")), "left_semi")
-    if not found.groupBy("id", "hash").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["_row"])
-    return kept.drop("_row")
+    placed = met.join(comp, F.col("key") == F.col("node"), "left").select("s", "n", "at", "key", F.coalesce("component", "key").alias("c"))
+    largest = placed.groupBy("s", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("s").agg(F.max_by("c", F.struct("m", "c")).alias("big"), F.count(F.lit(1)).alias("k")).where("k > 1").select("s", "big")
+    mixed = placed.join(largest, "s")
+    left, right = (mixed.select("s", "big", *[F.col(c).alias(c + i) for c in ("key", "n", "at", "c")]) for i in "12")
+    left = left.where("c1 <> big").drop("big")
+    once = (F.col("c2") == F.col("big")) | (F.col("key1") < F.col("key2"))
+    pairs = left.join(right, "s").where((F.col("c1") != F.col("c2")) & once & _may_be_near(near, "1", "2"))
+    return pairs.select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b")).distinct()

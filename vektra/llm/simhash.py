@@ -2,11 +2,18 @@
 
 A fingerprint is cut into 32 segments of two bits and embedded as the vector of
 its segments' bit counts. The Manhattan distance of two such vectors never
-exceeds the Hamming distance of the fingerprints. The segments form seven axis
-groups; two vectors within Manhattan distance four differ in at most four of
-them, so they agree on at least three, and lie in one cell of at least one of the
-35 grids that three axis groups span. Rows meet by grid cell, are compared by
-Manhattan distance and then exactly.
+exceeds the Hamming distance of the fingerprints. The segments form axis groups,
+more of them the more rows there are; two vectors within Manhattan distance four
+differ in at most four groups, so they lie in one cell of at least one of the grids
+that all choices of the other groups span. So a cell holds few rows at any size of
+the table. Within a cell rows are joined by range: their bit counts over all
+segments differ by four at most. What is in range is compared by Manhattan distance
+and then exactly.
+
+For stages that take word shingles and a similarity, links of fingerprints are
+verified on whole shingle sets, and sets that fingerprints leave apart are joined by
+prefix filters (``copies``): at a similarity of 4/5 fingerprints differ in about ten
+bits, more than a grid can search.
 """
 
 from __future__ import annotations
@@ -19,13 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut
+from . import copies
+from .shared import components, cut, named, unused
 
 SEED = 42
 RADIUS = 4
-#: Axis groups: more than RADIUS by three, so that three stay untouched by four differences.
-GROUPS = 7
-SHARED = GROUPS - RADIUS
+#: Rows up to which grids of 6, 7 and 8 axis groups serve; beyond, 9 do. Cells then hold about 2^16, 2^20, 2^24 and 2^27 places.
+GROWTH = (1 << 17, 1 << 22, 1 << 27)
 #: Groups of rows in one cell up to this size are compared all at once, larger ones one pivot at a time.
 TINY = 6
 #: Rows of one cell that a task holds; what lies beyond is dealt out as pairs of chunks.
@@ -51,9 +58,16 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     ones = np.zeros(64, np.int64)
     for at in range(0, len(starts), BLOCK):
         part = np.array([digest(flat[a:b], SEED) for a, b in zip(starts[at : at + BLOCK], stops[at : at + BLOCK])], np.uint64)
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    set_bits = np.packbits(2 * ones > len(starts), bitorder="little")
-    return int(set_bits.view(np.uint64)[0])
+        ones += _ones(part)
+    return _majority(ones, len(starts))
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, of: int) -> int:
+    return int(np.packbits(2 * ones > of, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -75,12 +89,17 @@ def embed(fp: np.ndarray) -> np.ndarray:
     return (high | low) | ((high & low) << ONE)
 
 
-def axis_masks(groups: int = GROUPS) -> list[int]:
+def groups_for(rows: int) -> int:
+    """Axis groups for so many fingerprints."""
+    return 6 + sum(rows > n for n in GROWTH)
+
+
+def axis_masks(groups: int) -> list[int]:
     bounds = [round(i * 32 / groups) for i in range(groups + 1)]
     return [sum(3 << (2 * s) for s in range(a, b)) for a, b in zip(bounds, bounds[1:])]
 
 
-def grid_masks(groups: int = GROUPS, radius: int = RADIUS) -> list[int]:
+def grid_masks(groups: int, radius: int = RADIUS) -> list[int]:
     """One 64-bit mask per grid: the segments of each choice of the axis groups that must agree."""
     masks = axis_masks(groups)
     signed = [sum(masks[i] for i in chosen) for chosen in combinations(range(groups), groups - radius)]
@@ -93,22 +112,27 @@ def _forest(fp: np.ndarray, node: np.ndarray, split: int | None, radius: int) ->
     ``split``: only pairs of a row before it with a row from it on count (a pair of
     chunks); None: all pairs count.
     """
-    grid, out = embed(fp), []
+    grid, count, out = embed(fp), np.bitwise_count(fp).astype(np.int64), []
     left = np.arange(len(fp)) < split if split is not None else None
-    todo = np.arange(len(fp))
+    todo = np.argsort(count, kind="stable")  # by bit count, so that what is in range of a row lies together
+    level = count[todo]
     while len(todo):
-        queue, todo = [int(todo[0])], todo[1:]
+        queue, todo, level = [int(todo[0])], todo[1:], level[1:]
         while queue and len(todo):
             at = queue.pop()
-            near = np.bitwise_count(grid[todo] ^ grid[at]) <= radius
-            near[near] = np.bitwise_count(fp[todo[near]] ^ fp[at]) <= radius
+            a, b = np.searchsorted(level, (count[at] - radius, count[at] + radius + 1))
+            some = todo[a:b]
+            near = np.bitwise_count(grid[some] ^ grid[at]) <= radius
+            near[near] = np.bitwise_count(fp[some[near]] ^ fp[at]) <= radius
             if left is not None:
-                near &= left[todo] != left[at]
+                near &= left[some] != left[at]
             if near.any():
-                found = todo[near]
+                found = some[near]
                 out.append(np.stack([np.full(len(found), node[at]), node[found]]))
                 queue += found.tolist()
-                todo = todo[~near]
+                stay = np.ones(len(todo), bool)
+                stay[a:b] = ~near
+                todo, level = todo[stay], level[stay]
     return out
 
 
@@ -189,14 +213,15 @@ def _join_cells(radius: int, chunk: int):
     return run
 
 
-def near_links(prints: DataFrame, radius: int = RADIUS, groups: int = GROUPS, chunk: int = CHUNK) -> DataFrame:
+def near_links(prints: DataFrame, radius: int = RADIUS, groups: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """``(a, b)`` links of nodes of distinct fingerprints that connect all pairs within ``radius`` bits.
 
     ``prints``: distinct ``(fp, node)``. A group of near copies gives a forest per
     cell, not all its pairs. Cells over ``chunk`` rows go on as pairs of chunks, each
-    pair a group of its own, so no task holds more than two chunks.
+    pair a group of its own, so no task holds more than two chunks. ``groups``: axis
+    groups of the grids, by the count of rows if None.
     """
-    masks = grid_masks(groups, radius)
+    masks = grid_masks(groups or groups_for(prints.count()), radius)
     one = F.shiftrightunsigned("fp", 1)
     low = F.lit(int(LOW))
     high_, low_ = one.bitwiseAND(low), F.col("fp").bitwiseAND(low)
@@ -226,7 +251,7 @@ def _forest_pairs(fp, node, split, radius):
     return np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = RADIUS, groups: int = GROUPS, chunk: int = CHUNK, keep_hash: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = RADIUS, groups: int | None = None, chunk: int = CHUNK, keep_hash: bool = False) -> DataFrame:
     """``(doc_id, fp, component_id)`` (and ``hash`` of the text if asked for), one row per row of ``docs``.
 
     Documents whose fingerprints differ in at most ``radius`` bits are linked;
@@ -237,27 +262,90 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null). An empty table gives an empty result; other columns are not read.
     """
     prints = cut(fingerprints(docs, id_col, text_col, width))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
     found = near_links(nodes.where("node is not null"), radius, groups, chunk)
     comp = components(found).withColumnRenamed("component", "_c")
     named = nodes.join(comp, "node", "left").select(F.col("fp").alias("_fp"), F.coalesce("_c", "node").alias("component_id"))
     return prints.join(named, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id", *["hash"] * keep_hash)
 
 
-def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = copies.WIDTH, near: tuple[int, int] = copies.NEAR, chunk: int = CHUNK) -> DataFrame:
+    """``(id, hash, group)``, one row per row of ``docs``: groups that shingle-set similarities of ``near`` or more connect.
+
+    ``hash`` is one of the text as it is. Equal sets are one node from the start. Links
+    within RADIUS bits of the fingerprints, and of neighbours in a shared prefix shingle,
+    are verified on whole sets first; then what meets in a prefix shingle and still lies
+    in different groups is. So no similar pair is missed, and a large group does not
+    cost all its pairs. Null and empty texts have the empty set.
+    """
+    text = named(text_col).cast("string")
+    mine = docs.select(named(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(copies.frequent(mine, width))
+
+    def run(batches):
+        for batch in batches:
+            keys, sizes, fps, firsts = [], [], [], []
+            for t in batch.column(2):
+                raw = copies.hashes(t.as_py(), width)
+                found = np.unique(raw)
+                ones = sum((_ones(raw[at : at + BLOCK]) for at in range(0, len(raw), BLOCK)), np.zeros(64, np.int64))
+                keys.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                sizes.append(len(found))
+                fps.append(_majority(ones, len(raw)))
+                firsts.append(copies.prefix(found, *shared.value, near).view(np.int64))
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(keys), pa.array(sizes, pa.int64()), signed(fps), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "hash", "key", "n", "fp", "first"])
+
+    rows = cut(mine.mapInArrow(run, "id long, hash long, key long, n long, fp long, first array<long>"))
+    nodes = rows.dropDuplicates(["key"]).select("key", "n", "fp", "first")
+    prints = cut(nodes.groupBy("fp").agg(F.min("key").alias("node")))
+    met = cut(copies.meeting(nodes))
+    equal = nodes.select("key", "fp").join(prints, "fp").where("key <> node").select(F.col("key").alias("a"), F.col("node").alias("b"))
+
+    def whole(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(copies.hashes(t.as_py(), width)).tobytes() for t in batch.column(1)], pa.binary())], names=["key", "set"])
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        need = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+        one = rows.join(need, "key").groupBy("key").agg(F.min(F.struct("id", "hash")).alias("row"))
+        texts = mine.select(F.struct("id", "hash").alias("_row"), "text").join(one, F.col("_row").eqNullSafe(F.col("row"))).dropDuplicates(["key"])
+        return cut(texts.select("key", "text").mapInArrow(whole, "key long, set binary"))
+
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    close = cut(ordered(near_links(prints, chunk=chunk).union(equal).union(copies.neighbours(met, near))))
+    links = cut(copies.verified(close, sets_of(close), near))
+    comp = cut(components(links))
+    rest = cut(copies.apart(met, comp, near))
+    if not rest.isEmpty():
+        more = cut(copies.verified(rest, sets_of(rest), near))
+        if not more.isEmpty():
+            comp = components(links.union(more))
+    return rows.join(comp.withColumnRenamed("node", "key"), "key", "left").select("id", "hash", F.coalesce("component", "key").alias("group"))
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: tuple[int, int] | None = None, **options) -> DataFrame:
     """The rows of ``docs`` that near-duplicate removal leaves, with all their columns.
 
-    Of each group the row with the smallest id stays. Where an id repeats, or is null,
-    rows are told apart by a hash of their text too: of rows with one id the one whose
-    text hashes smallest stays, of equal rows any one. Rows with null ids are grouped
-    by equal fingerprints only. Texts are shuffled once, for the join back.
+    Of each group the row with the smallest id stays, one with a null id only if there is
+    no other. Where an id repeats, rows are told apart by a hash of their text too: of
+    rows with one id the one whose text hashes smallest stays, of equal rows any one.
+    Groups are those of fingerprints within RADIUS bits (rows with null ids are then
+    grouped by equal fingerprints only), or with ``near`` those of word-shingle sets as
+    similar as that (see ``alike``). An empty table gives an empty one. Texts are
+    shuffled once, for the join back.
     """
-    named = docs.withColumn("_row", F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash")))
-    groups = near_duplicates(docs, id_col, text_col, keep_hash=True, **options)
-    alone = F.when(F.col("component_id").isNull(), F.col("fp"))
-    first = groups.groupBy("component_id", alone.alias("_alone")).agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("hash").alias("hash"))).alias("_first"))
-    kept = named.join(first.select("_first").distinct(), F.col("_row").eqNullSafe(F.col("_first")), "left_semi")
-    repeats = groups.groupBy("doc_id", "hash").count().where("count > 1")
-    if not repeats.isEmpty():
-        kept = kept.dropDuplicates(["_row"])
-    return kept.drop("_row")
+    (mark,) = unused(docs, "_row")
+    marked = docs.withColumn(mark, F.struct(named(id_col).cast("long").alias("id"), F.xxhash64(named(text_col).cast("string")).alias("hash")))
+    if near:
+        groups = alike(docs, id_col, text_col, near=near, **options)
+        keys = ["group"]
+    else:
+        groups = near_duplicates(docs, id_col, text_col, keep_hash=True, **options).withColumnRenamed("doc_id", "id")
+        groups = groups.withColumn("alone", F.when(F.col("component_id").isNull(), F.col("fp")))
+        keys = ["component_id", "alone"]
+    first = groups.groupBy(*keys).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("f")).select(F.struct("f.id", "f.hash").alias(unused(marked, "_first")[0])).distinct()
+    kept = marked.join(first, named(mark).eqNullSafe(named(first.columns[0])), "left_semi")
+    if not groups.groupBy("id", "hash").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([mark])
+    return kept.drop(mark)
