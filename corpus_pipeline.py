@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vektra.llm import copies, packing, pii, quality, toxicity
+from vektra.llm import packing, pii, quality, simhash, toxicity
 from vektra.llm.shared import cut, table, unused
 
 #: The key of the pseudonyms; a real run passes its own.
 KEY = "vektra"
 LEAST_QUALITY, MOST_TOXIC = 0.7, 0.3
+#: Words of a shingle and the similarity, as a fraction, from which documents are near copies.
+WIDTH, NEAR = 5, (4, 5)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word similarities of 0.8 or more connect."""
-    return copies.survivors(docs)
+    return simhash.survivors(docs, width=WIDTH, near=NEAR)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
