@@ -104,17 +104,20 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_
     return met.groupBy("_id", "_y").agg(least.alias("_m")).select(F.col("_m.t").alias("text"), F.col("_y").alias("label"))
 
 
-def _at_hubs(side: DataFrame, least: DataFrame, hub: int) -> DataFrame:
-    """``side`` (u, v) with ``least`` (u, m, n) joined on u; rows of a u with over ``hub`` of them are dealt over salts.
+def _with_least(side: DataFrame, least: DataFrame, hub: int | None) -> DataFrame:
+    """``side`` (u, v) with ``least`` (u, m, n) joined on u; ``n``: how many rows of that u ``side`` has at most.
 
-    ``least`` has a row for each u, ``n`` how many rows ``side`` has at most. What is
-    broadcast has under ``rows of side / hub`` rows.
+    With ``hub`` the rows of a u with over so many are dealt over salts; the list of
+    these u is broadcast and has under ``rows of side / hub`` rows. Else nothing is
+    broadcast: the driver would hold every round's.
     """
+    if hub is None:
+        return side.hint("merge").join(least.hint("merge"), "u")
     salts = F.ceil(F.col("n") / hub).cast("int")
     hubs = least.where(F.col("n") > hub).select(F.col("u").alias("_u"), salts.alias("_s"))
     left = side.join(F.broadcast(hubs), F.col("u") == F.col("_u"), "left").select("u", "v", F.coalesce(F.pmod(F.xxhash64("v"), F.col("_s")), F.lit(0)).cast("int").alias("_p"))
     right = least.select("u", "m", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_p"))
-    return left.join(right, ["u", "_p"])
+    return left.hint("merge").join(right.hint("merge"), ["u", "_p"])
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -132,12 +135,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     seen = None
     for _ in range(rounds):
-        hub = max(1024, size // 4096)  # 2 * size rows have 8192 hubs at most
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = _at_hubs(both.where("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        hub = max(1024, size // 4096)  # 2 * size rows have 8192 hubs at most
+        hub = None if least.where(F.col("n") > hub).isEmpty() else hub
+        large = _with_least(both.where("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = _at_hubs(large, low, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
+        small = _with_least(large, low, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
         edges = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
