@@ -154,7 +154,7 @@ def test_near_copies_equal_brute_force(spark):
 def test_sets_meet_wherever_tasks_end(spark):
     """Every shared prefix shingle of two sets is kept, and neighbours but those over a task's border are paired."""
     rng = np.random.default_rng(1)
-    rows = [(k, 10, sorted(rng.choice(60, 4, replace=False).tolist())) for k in range(80)] + [(1000 + k, 10, [500 + k]) for k in range(50)]
+    rows = [(k, 1000, sorted(rng.choice(60, 4, replace=False).tolist())) for k in range(80)] + [(1000 + k, 1000, [500 + k]) for k in range(50)]
     frame = spark.createDataFrame(rows, "key long, n long, first array<long>")
     for n in (1, 7):
         spark.conf.set("spark.sql.shuffle.partitions", str(n))

@@ -86,8 +86,8 @@ def _may_be_near(near: tuple[int, int], one: str, two: str):
     return rest & (F.least(n1, n2) * down >= F.greatest(n1, n2) * up)
 
 
-def meeting(rows: DataFrame) -> DataFrame:
-    """``(s, n, at, key, n0, at0, key0)``: each set's places in prefix shingles that it shares, and the set before it there.
+def meeting(rows: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
+    """``(s, n, at, key, key0)``: each set's places in prefix shingles that it shares, and the set before it there if they may be similar.
 
     ``rows``: distinct ``(key, n, first)``. Sets of one shingle come in the order of their
     sizes, so a set's neighbour is the likeliest to be like it. Rows are dealt by range,
@@ -95,13 +95,16 @@ def meeting(rows: DataFrame) -> DataFrame:
     they seem alone, and the first has no neighbour.
     """
     posts = rows.select("n", "key", F.posexplode("first").alias("at", "s")).select("s", "n", F.col("at").cast("long").alias("at"), "key")
-    names = ["s", "n", "at", "key", "n0", "at0", "key0"]
+    names = ["s", "n", "at", "key", "key0"]
+    up, down = near
 
     def run(batches):
         held = None  # the last row so far: its columns and those of the one before it (None at the task's first)
 
         def given(columns, before, others, keep):
-            arrays = [pa.array(c) for c in columns] + [pa.array(c, mask=~before) for c in others]
+            (s, n, at, key), (n0, at0, key0) = columns, others
+            fits = (np.minimum(n - at, n0 - at0) * (up + down) >= (n + n0) * up) & (np.minimum(n, n0) * down >= np.maximum(n, n0) * up)
+            arrays = [pa.array(s), pa.array(n), pa.array(at), pa.array(key), pa.array(key0, mask=~(before & fits))]
             return pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(keep))
 
         for batch in batches:
@@ -127,10 +130,10 @@ def meeting(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def neighbours(met: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
-    """Pairs ``(a, b)`` of sets that come after each other in a shingle and may be as similar as ``near``."""
-    pairs = met.where("key0 is not null").withColumnsRenamed({"n": "n1", "at": "at1"}).where(_may_be_near(near, "0", "1"))
-    return pairs.select(F.col("key0").alias("a"), F.col("key").alias("b"))
+def neighbours(met: DataFrame) -> DataFrame:
+    """``(a, b, times)``: sets that come after each other in a shingle and may be similar, and in how many."""
+    pairs = met.where("key0 is not null").select(F.least("key0", "key").alias("a"), F.greatest("key0", "key").alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
 
 
 def apart(met: DataFrame, comp: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:

@@ -37,6 +37,8 @@ GROWTH = (1 << 17, 1 << 22, 1 << 27)
 TINY = 6
 #: Rows of one cell that a task holds; what lies beyond is dealt out as pairs of chunks.
 CHUNK = 32_768
+#: Rows of (key, id, hash) that are broadcast at most, of 64 bytes each.
+NAMED = 250_000
 #: Shingles hashed at a time, which bounds the memory that a very long text takes.
 BLOCK = 1 << 18
 
@@ -274,8 +276,8 @@ def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
 
     ``hash`` is one of the text as it is. Equal sets are one node from the start. Links
     within RADIUS bits of the fingerprints, and of neighbours in a shared prefix shingle,
-    are verified on whole sets first; then what meets in a prefix shingle and still lies
-    in different groups is. So no similar pair is missed, and a large group does not
+    are verified on whole sets first, for each set that with the one it shares most
+    with; then what meets in a prefix shingle and still lies in different groups is. So no similar pair is missed, and a large group does not
     cost all its pairs. Null and empty texts have the empty set.
     """
     text = named(text_col).cast("string")
@@ -299,26 +301,32 @@ def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     rows = cut(mine.mapInArrow(run, "id long, hash long, key long, n long, fp long, first array<long>"))
     nodes = rows.dropDuplicates(["key"]).select("key", "n", "fp", "first")
     prints = cut(nodes.groupBy("fp").agg(F.min("key").alias("node")))
-    met = cut(copies.meeting(nodes))
+    met = cut(copies.meeting(nodes, near))
     equal = nodes.select("key", "fp").join(prints, "fp").where("key <> node").select(F.col("key").alias("a"), F.col("node").alias("b"))
 
     def whole(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(copies.hashes(t.as_py(), width)).tobytes() for t in batch.column(1)], pa.binary())], names=["key", "set"])
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-        one = rows.join(need, "key").groupBy("key").agg(F.min(F.struct("id", "hash")).alias("row"))
-        texts = mine.select(F.struct("id", "hash").alias("_row"), "text").join(one, F.col("_row").eqNullSafe(F.col("row"))).dropDuplicates(["key"])
-        return cut(texts.select("key", "text").mapInArrow(whole, "key long, set binary"))
+    repeats = not rows.groupBy("id", "hash").count().where("count > 1").isEmpty()
 
-    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    close = cut(ordered(near_links(prints, chunk=chunk).union(equal).union(copies.neighbours(met, near))))
-    links = cut(copies.verified(close, sets_of(close), near))
+    def sets_of(pairs: DataFrame, there: DataFrame | None = None) -> DataFrame:
+        need = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+        if there is not None:
+            need = need.join(there.select("key"), "key", "left_anti")
+        one = cut(rows.select("key", "id", "hash").join(need, "key").groupBy("key").agg(F.min(F.struct("id", "hash")).alias("row")))
+        one = F.broadcast(one) if one.count() <= NAMED else one
+        texts = mine.select(F.struct("id", "hash").alias("_row"), "text").join(one, F.col("_row").eqNullSafe(F.col("row"))).select("key", "text")
+        return cut((texts.dropDuplicates(["key"]) if repeats else texts).mapInArrow(whole, "key long, set binary"))
+
+    sure = near_links(prints, chunk=chunk).union(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1 << 40).alias("times"))
+    close = cut(copies.neighbours(met).union(sure).groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"))
+    sets = sets_of(close)
+    links = cut(copies.verified(close, sets, near))
     comp = cut(components(links))
     rest = cut(copies.apart(met, comp, near))
     if not rest.isEmpty():
-        more = cut(copies.verified(rest, sets_of(rest), near))
+        more = cut(copies.verified(rest, sets.union(sets_of(rest, sets)), near))
         if not more.isEmpty():
             comp = components(links.union(more))
     return rows.join(comp.withColumnRenamed("node", "key"), "key", "left").select("id", "hash", F.coalesce("component", "key").alias("group"))
