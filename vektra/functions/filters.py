@@ -249,7 +249,7 @@ def _clause(c: Mapping[str, Any]) -> dict:
 
 
 #: Comparison signs of retriever filters and what they stand for.
-SIGNS = {"==": "$eq", "!=": "$ne", ">": "$gt", ">=": "$gte", "<": "$lt", "<=": "$lte", "in": "$in", "nin": "$nin", "any": "$in", "all": "$all", "contains": "$contains", "text_match": "$contains", "is_empty": "$empty"}
+SIGNS = {"==": "$eq", "eq": "$eq", "!=": "$ne", "ne": "$ne", ">": "$gt", "gt": "$gt", ">=": "$gte", "gte": "$gte", "<": "$lt", "lt": "$lt", "<=": "$lte", "lte": "$lte", "in": "$in", "nin": "$nin", "any": "$contains", "all": "$all", "contains": "$contains", "text_match": "$contains", "is_empty": "$empty"}
 
 
 def from_triples(filters: Sequence, condition: str = "and") -> dict:

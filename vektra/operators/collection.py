@@ -209,11 +209,11 @@ def register(name: str, strategy) -> None:
     STRATEGIES[name] = strategy
 
 
-#: What callers name an algorithm, and the strategy it stands for; others are a graph search.
-ALGORITHMS = {"exact": "exact", "flat": "exact", "brute": "exact", "ivf": "ivf_pq", "ivf_pq": "ivf_pq", "ivfpq": "ivf_pq", "ivf_sq8": "ivf_sq8", "sq8": "ivf_sq8", "ivf_rabitq": "ivf_rabitq", "rabitq": "ivf_rabitq", "fp16": "fp16", "cagra": "cagra", "hnsw": "hnsw"}
+#: What callers name an algorithm, and the strategy it stands for; a hyphen is as good as an underscore, other names are a graph search.
+ALGORITHMS = {"exact": "exact", "flat": "exact", "brute": "exact", "ivf": "ivf_pq", "pq": "ivf_pq", "ivf_pq": "ivf_pq", "ivfpq": "ivf_pq", "ivf_sq8": "ivf_sq8", "sq8": "ivf_sq8", "ivf_rabitq": "ivf_rabitq", "rabitq": "ivf_rabitq", "fp16": "fp16", "cagra": "cagra", "hnsw": "hnsw"}
 
 
 def algorithm(name: str | None, use_ivf: bool = False) -> str:
     if name is None:
         return "ivf_pq" if use_ivf else "hnsw"
-    return ALGORITHMS.get(name.strip().lower(), "hnsw")
+    return ALGORITHMS.get(name.strip().lower().replace("-", "_"), "hnsw")

@@ -5,21 +5,63 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.filters import from_clauses, from_triples
 from ..functions.vectors import metric_name
 from . import collection as col
+from .lineage import settle
 from .sparse import mmr
 
 
-class Collections:
-    """Named collections with create, upsert, search, scroll and the rest of a client's calls."""
+#: Where string ids are kept; points have numbers of their own beside them.
+KEY = "external_id"
+
+
+def _by_key(spec: Any) -> Any:
+    """A filter with ``$id`` read as the string id."""
+    if isinstance(spec, Mapping):
+        return {KEY if k == "$id" else k: _by_key(v) for k, v in spec.items()}
+    return [_by_key(s) for s in spec] if isinstance(spec, (list, tuple)) else spec
 
-    def __init__(self, spark: SparkSession, payload: str = ""):
-        self.spark, self.payload, self.named = spark, payload, {}
+
+class Collections:
+    """Named collections with create, upsert, search, scroll and the rest of a client's calls.
+
+    With ``string_ids`` callers' ids are strings, and points that come with none get a
+    random one; numbers are given within, and results name points by their strings.
+    """
+
+    def __init__(self, spark: SparkSession, payload: str = "", string_ids: bool = False):
+        self.spark, self.named, self.string_ids = spark, {}, string_ids
+        self.payload = ", ".join(p for p in (f"{KEY} string" if string_ids else "", payload) if p)
+
+    def _spec(self, clauses: Mapping | None) -> dict:
+        spec = from_clauses(clauses)
+        return _by_key(spec) if self.string_ids else spec
+
+    def _numbers(self, name: str, ids: DataFrame) -> DataFrame:
+        """``ids`` with the points' own numbers; unknown strings have none."""
+        if not self.string_ids:
+            return ids
+        known = self[name].live().select(F.col(KEY).alias("_key"), F.col("id").alias("_number"))
+        return ids.join(known, F.col("id") == F.col("_key"), "left").withColumn("id", F.col("_number")).drop("_key", "_number")
+
+    def _named(self, rows: DataFrame) -> DataFrame:
+        """Points by their strings."""
+        return rows.withColumn("id", F.col(KEY)).drop(KEY) if self.string_ids else rows
+
+    def _numbered(self, c: col.Collection, rows: DataFrame) -> DataFrame:
+        """Points with numbers: those that their strings have already, or new ones. Of a string the last row counts."""
+        rows = settle(rows.withColumn(KEY, F.coalesce(F.col("id").cast("string"), F.expr("uuid()"))))
+        newest = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("seq")))
+        rows = rows.withColumn("_r", newest).where("_r = 1").drop("_r", "id")
+        known = c.live().select(F.col(KEY).alias("_key"), "id")
+        met = settle(rows.join(known, F.col(KEY) == F.col("_key"), "left").drop("_key"))
+        new = col._numbered(met.where("id is null").drop("id"), c.next_id, "id")
+        return met.where("id is not null").unionByName(new)
 
     def create(self, name: str, dim: int, metric: str = "cosine") -> None:
         if name in self.named:
@@ -48,29 +90,32 @@ class Collections:
     def upsert(self, name: str, points: DataFrame) -> None:
         c = self[name]
         rows = points if "seq" in points.columns else col._numbered(points, c.next_seq, "seq")
-        self.named[name] = col.upsert(c, rows)
+        self.named[name] = col.upsert(c, self._numbered(c, rows) if self.string_ids else rows)
 
     def delete(self, name: str, ids: DataFrame | None = None, clauses: Mapping | None = None) -> int:
-        self.named[name], n = col.delete(self[name], ids, None if clauses is None else from_clauses(clauses))
+        ids = None if ids is None else self._numbers(name, ids).where("id is not null")
+        self.named[name], n = col.delete(self[name], ids, None if clauses is None else self._spec(clauses))
         return n
 
     def retrieve(self, name: str, ids: DataFrame) -> DataFrame:
-        return col.get(self[name], ids).where(F.col("seq").isNotNull())
+        return self._named(col.get(self[name], self._numbers(name, ids)).where(F.col("seq").isNotNull()))
 
     def count(self, name: str, clauses: Mapping | None = None) -> int:
-        return self[name].count(from_clauses(clauses))
+        return self[name].count(self._spec(clauses))
 
     def scroll(self, name: str, limit: int = 10, offset: int | None = None, clauses: Mapping | None = None):
-        return col.scroll(self[name].where(from_clauses(clauses)), limit, offset)
+        """A page and the number that the next page starts with (a point's own number, also with string ids)."""
+        page, after = col.scroll(self[name].where(self._spec(clauses)), limit, offset)
+        return self._named(page), after
 
     def search(self, name: str, queries: DataFrame, limit: int = 10, clauses: Mapping | None = None, threshold: float | None = None, with_payload: bool = True, with_vectors: bool = False) -> DataFrame:
         """(query_id, rank, id, score, ...); a threshold applies to the k best, not before."""
         c = self[name]
-        found = col.search(c, queries, limit, from_clauses(clauses)).withColumn("score", scores.client_score(c.metric, F.col("distance")))
+        found = col.search(c, queries, limit, self._spec(clauses)).withColumn("score", scores.client_score(c.metric, F.col("distance")))
         if threshold is not None:
             found = found.where(scores.passes(c.metric, F.col("score"), threshold))
-        payload = [x for x in c.main.columns if x not in ("id", "embedding", "seq")] if with_payload else []
-        return found.select("query_id", "rank", "id", "score", *payload, *["embedding"] * with_vectors)
+        payload = [x for x in c.main.columns if x not in ("id", "embedding", "seq", KEY)] if with_payload else []
+        return self._named(found).select("query_id", "rank", "id", "score", *payload, *["embedding"] * with_vectors)
 
 
 class Retriever:

@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import check_k, distance, metric_name, squared_l2, subtract
 from . import train
-from .knn import in_blocks, list_matrix, top_k
+from .knn import BLOCK_BYTES, in_blocks, list_matrix, permitted, top_k
+from .lineage import settle
 
 MOST_SHORTLIST = 10_240
 
 
-def shortlist_size(k: int, rerank_k: int) -> int:
-    """Rows that stage one hands on; 0 stands for k, and fewer than k become k."""
-    return min(max(rerank_k or k, k), MOST_SHORTLIST)
+def shortlist_size(k: int, rerank_k: int | None, most: int = MOST_SHORTLIST) -> int | None:
+    """Rows that stage one hands on: 0 stands for k, fewer than k become k, more than ``most`` become that; None stands for all."""
+    return None if rerank_k is None else min(max(rerank_k or k, k), most)
 
 
 def ivf_probe(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
@@ -31,8 +32,14 @@ def ivf_probe(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFram
 
 
 def rerank_exact(shortlist: DataFrame, points: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """Rescores (query_id, id) with full vectors and the real metric."""
-    full = shortlist.select("query_id", "id").join(points.select("id", "embedding"), "id").join(queries, "query_id")
+    """Rescores (query_id, id) with full vectors and the real metric.
+
+    A shortlist within BLOCK_BYTES goes to the points, which then do not move; a larger
+    one meets them by id. The vectors that are left meet their queries.
+    """
+    short = settle(shortlist.select("query_id", "id"))
+    near = F.broadcast(short) if short.count() * 64 <= BLOCK_BYTES else short
+    full = points.select("id", "embedding").join(near, "id").join(queries, "query_id")
     return top_k(full.select("query_id", "id", distance(metric, F.col("q"), F.col("embedding")).alias("distance")), k).select("query_id", "rank", "id", "distance")
 
 
@@ -40,6 +47,8 @@ def _finish(stage: DataFrame, points, queries, k, rerank_k, metric) -> DataFrame
     if rerank_k == 1:
         return top_k(stage, k).select("query_id", "rank", "id", "distance")
     size = shortlist_size(k, rerank_k)
+    if size is None:
+        return rerank_exact(stage, points, queries, k, metric)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return rerank_exact(stage.withColumn("_r", rank).where(F.col("_r") <= size), points, queries, k, metric)
 
@@ -75,9 +84,13 @@ def adc_scan(codes: DataFrame, codebook: DataFrame, probes: DataFrame, m: int) -
     return rows.select("query_id", "id", total.alias("distance"))
 
 
-def search_pq(points, queries, centroids, codes, codebook, m, k=10, nprobe=8, rerank_k=32, metric="l2") -> DataFrame:
+# In the three searches ``allowed`` holds the ids (column ``id``) that may be results, None for all: codes of others are
+# not scanned. ``rerank_k`` None reranks all that is scanned.
+
+
+def search_pq(points, queries, centroids, codes, codebook, m, k=10, nprobe=8, rerank_k=32, metric="l2", allowed=None) -> DataFrame:
     """Product-quantised search."""
-    stage = adc_scan(codes, codebook, ivf_probe(queries, centroids, nprobe), m)
+    stage = adc_scan(permitted(codes, allowed), codebook, ivf_probe(queries, centroids, nprobe), m)
     return _finish(stage, points, queries, check_k(k), rerank_k, metric_name(metric))
 
 
@@ -88,9 +101,9 @@ def sq8_scan(codes: DataFrame, params: DataFrame, probes: DataFrame) -> DataFram
     return rows.select("query_id", "id", squared_l2(F.col("residual"), train.sq8_decode(F.col("codes"), F.col("low"), F.col("scale"))).alias("distance"))
 
 
-def search_sq8(points, queries, centroids, codes, params, k=10, nprobe=8, rerank_k=32, metric="l2") -> DataFrame:
+def search_sq8(points, queries, centroids, codes, params, k=10, nprobe=8, rerank_k=32, metric="l2", allowed=None) -> DataFrame:
     """Search over 8-bit scalar codes."""
-    stage = sq8_scan(codes, params, ivf_probe(queries, centroids, nprobe))
+    stage = sq8_scan(permitted(codes, allowed), params, ivf_probe(queries, centroids, nprobe))
     return _finish(stage, points, queries, check_k(k), rerank_k, metric_name(metric))
 
 
@@ -99,9 +112,9 @@ def rabitq_scan(codes: DataFrame, probes: DataFrame, metric: str = "l2") -> Data
     first = probes.select(F.size("q")).first()
     signs = train.rotation_signs(first[0] if first else 1)
     p = signs.shape[1]
-    rows = codes.join(probes.select("query_id", "cluster_id", "q", "centroid"), "cluster_id").select("query_id", "id", "q", "centroid", "bits", "res_norm_sq", "rescale", "popcount", "vec_norm_sq")
 
-    def run(batches):
+    def turned(batches):
+        """Each probe's residual, rotated and quantised once, whatever number of codes its cell has."""
         for b in batches:
             if not b.num_rows:
                 continue
@@ -109,13 +122,24 @@ def rabitq_scan(codes: DataFrame, probes: DataFrame, metric: str = "l2") -> Data
             v = train.rotate(q, signs) - train.rotate(c, signs)
             low, high = v.min(1), v.max(1)
             step = np.where(high - low <= 1e-12, 0.0, (high - low) / 15)
-            u = np.clip(np.rint((v - low[:, None]) / np.where(step > 0, step, 1)[:, None]), 0, 15)
-            bits = np.unpackbits(np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)[:, :p]
-            norm, rescale, pop, whole = (b.column(i).to_numpy() for i in (5, 6, 7, 8))
-            inner = rescale * (low * (2 * pop - p) + step * (2 * (u * bits).sum(1) - u.sum(1)))
-            est = ((q - c) ** 2).sum(1) + norm - 2 * inner
+            u = np.clip(np.rint((v - low[:, None]) / np.where(step > 0, step, 1)[:, None]), 0, 15).astype(np.uint8)
+            columns = [pa.array([x.tobytes() for x in u]), pa.array(low), pa.array(step), pa.array(((q - c) ** 2).sum(1)), pa.array((q * q).sum(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["query_id", "cluster_id", "u", "low", "step", "apart", "q_norm"])
+
+    asked = probes.select(F.col("query_id").cast("long"), F.col("cluster_id").cast("int"), "q", "centroid").mapInArrow(turned, "query_id long, cluster_id int, u binary, low double, step double, apart double, q_norm double")
+    rows = codes.join(asked, "cluster_id").select("query_id", "id", "u", "low", "step", "apart", "q_norm", "bits", "res_norm_sq", "rescale", "popcount", "vec_norm_sq")
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bytes_of = lambda i: np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            u, bits = bytes_of(2), np.unpackbits(bytes_of(7), axis=1)[:, :p]
+            low, step, apart, q_norm, norm, rescale, pop, whole = (b.column(i).to_numpy() for i in (3, 4, 5, 6, 8, 9, 10, 11))
+            inner = rescale * (low * (2 * pop - p) + step * (2.0 * (u * bits).sum(1, dtype=np.int64) - u.sum(1, dtype=np.int64)))
+            est = apart + norm - 2 * inner
             if metric == "ip":
-                est = -0.5 * ((q * q).sum(1) + whole - est)
+                est = -0.5 * (q_norm + whole - est)
             elif metric == "cosine":
                 est = 0.5 * est
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(est)], names=["query_id", "id", "distance"])
@@ -123,10 +147,10 @@ def rabitq_scan(codes: DataFrame, probes: DataFrame, metric: str = "l2") -> Data
     return rows.mapInArrow(run, "query_id long, id long, distance double")
 
 
-def search_rabitq(points, queries, centroids, codes, k=10, nprobe=8, rerank_k=32, metric="l2") -> DataFrame:
+def search_rabitq(points, queries, centroids, codes, k=10, nprobe=8, rerank_k=32, metric="l2", allowed=None) -> DataFrame:
     """Search over rotated sign bits."""
     metric = metric_name(metric)
-    stage = rabitq_scan(codes, ivf_probe(queries, centroids, nprobe), metric)
+    stage = rabitq_scan(permitted(codes, allowed), ivf_probe(queries, centroids, nprobe), metric)
     return _finish(stage, points, queries, check_k(k), rerank_k, metric)
 
 

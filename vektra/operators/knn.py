@@ -98,9 +98,9 @@ def scan(points: DataFrame, queries: DataFrame, kernel, k: int) -> DataFrame:
     """Runs ``kernel(qids, q, ids, x)`` over blocks of points with the queries broadcast, then keeps the k nearest."""
 
     def act(block: DataFrame) -> DataFrame:
-        got = block.select(F.col("query_id").cast("long"), F.col("q").cast("array<double>")).orderBy("query_id").collect()
-        qids = np.array([r[0] for r in got], np.int64)
-        q = np.array([r[1] for r in got], np.float64)
+        got = block.select(F.col("query_id").cast("long"), F.col("q").cast("array<double>")).orderBy("query_id").toArrow().combine_chunks()
+        qids = got.column(0).to_numpy()
+        q = list_matrix(got.column(1).combine_chunks()) if len(qids) else np.empty((0, 0))
         shared = block.sparkSession.sparkContext.broadcast((qids, q))
 
         def run(batches):
@@ -125,9 +125,15 @@ def _half(x: np.ndarray) -> np.ndarray:
     return x.astype(np.float16).astype(np.float32).astype(np.float64)
 
 
-def search_fp16(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:
+def permitted(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """The rows whose ``id`` is among ``allowed`` (column ``id``); all of them if that is None."""
+    return rows if allowed is None else rows.join(allowed.select("id").distinct(), "id", "left_semi")
+
+
+def search_fp16(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", allowed: DataFrame | None = None) -> DataFrame:
     """Exact scan of half-precision components; norms are of the full ones, and nothing is reranked."""
     metric, k = metric_name(metric), check_k(k)
+    points = permitted(points, allowed)
 
     def kernel(qids, q, ids, x):
         dots = _half(q) @ _half(x).T
@@ -172,8 +178,9 @@ def sharded_knn(points: DataFrame, queries: DataFrame, shards: int = 3, k: int =
 
 
 def knn_graph(points: DataFrame, k: int = 15) -> DataFrame:
-    """(id, rank, neighbour, distance): each point's nearest others by Euclidean distance."""
+    """(id, rank, neighbour, distance): each point's nearest others by Euclidean distance; ``k`` under MOST_K."""
+    check_k(k + 1)
     own = points.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
-    found = knn(points, own, min(k + 1, 256), "l2").where(F.col("query_id") != F.col("id"))
+    found = knn(points, own, k + 1, "l2").where(F.col("query_id") != F.col("id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query_id").alias("id"), "rank", F.col("id").alias("neighbour"), F.sqrt("distance").alias("distance"))

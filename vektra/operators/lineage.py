@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there: computed once, safe against lost executors."""
+    """``df`` written to the checkpoint folder and read from there: computed once, safe against lost executors.
+
+    The folder is what ``spark.checkpoint.dir`` names; only in local mode may it be unset.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vektra-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vektra-"))
     return df.checkpoint(eager=True)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..functions.filters import Fields, compile_filter, metadata_filter
 from ..functions.vectors import distance, normalize, scaled
-from ..operators import collection, evaluate, graph, ivf, knn, project3d, sparse, train
+from ..operators import collection, evaluate, graph, indexed, ivf, knn, project3d, sparse, train
 from ..operators.lineage import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -328,9 +328,9 @@ for _n, (_f, _a, _b, _c) in _SCORES.items():
 
     def _scored(spark, d, f=_f):
         rows = points(spark, d)
-        pair = rows.join(F.broadcast(asked(rows)))
         metrics = {m: distance(m, F.col("q"), F.col("embedding")) for m in ("l2", "cosine", "ip")}
-        return pair.select("query_id", F.col("id").alias("vec_id"), *[F.round(f(m, x), 6).alias(m) for m, x in metrics.items()])
+        pair = lambda q: rows.join(F.broadcast(q)).select("query_id", F.col("id").alias("vec_id"), *[F.round(f(m, x), 6).alias(m) for m, x in metrics.items()])
+        return knn.in_blocks(asked(rows), pair)
 
     query(f"WITH {PTS}, d AS (SELECT query_id, id, {SQL_DISTANCE['l2']} AS l2, {SQL_DISTANCE['cosine']} AS co, {SQL_DISTANCE['ip']} AS ip FROM q, pts) SELECT query_id, id AS vec_id, round({_a}, 6) AS l2, round({_b}, 6) AS cosine, round({_c}, 6) AS ip FROM d", f"score_{_n}")(_scored)
 
@@ -453,26 +453,72 @@ def pq_distortion(spark, d):
     return rounded(ivf.pq_distortion(i.residuals, i.points, i.codes(), i.codebook, PARTS, i.centroids, 20), "distortion")
 
 
-# With every cell probed and every row reranked, an inverted file is exact search.
+# With every cell probed and every row reranked (rerank_k None: no bound on the shortlist), an inverted file is exact search.
 
 
 @query(sql_knn("l2"))
 def ivf_pq_exhaustive(spark, d):
     i = Index(spark, d)
-    return result(ivf.search_pq(i.points, i.queries, i.centroids, i.codes(), i.codebook, PARTS, K, LISTS, 10_240))
+    return result(ivf.search_pq(i.points, i.queries, i.centroids, i.codes(), i.codebook, PARTS, K, LISTS, None))
 
 
 @query(sql_knn("cosine"))
 def ivf_sq8_exhaustive(spark, d):
     i = Index(spark, d)
     params = train.sq8_fit(i.residuals)
-    return result(ivf.search_sq8(i.points, i.queries, i.centroids, train.sq8_encode(i.residuals, params), params, K, LISTS, 10_240, "cosine"))
+    return result(ivf.search_sq8(i.points, i.queries, i.centroids, train.sq8_encode(i.residuals, params), params, K, LISTS, None, "cosine"))
 
 
 @query(sql_knn("ip"))
 def ivf_rabitq_exhaustive(spark, d):
     i = Index(spark, d)
-    return result(ivf.search_rabitq(i.points, i.queries, i.centroids, train.rabitq_encode(i.residuals, i.points), K, LISTS, 10_240, "ip"))
+    return result(ivf.search_rabitq(i.points, i.queries, i.centroids, train.rabitq_encode(i.residuals, i.points), K, LISTS, None, "ip"))
+
+
+# The same with a mask of allowed ids, which every search takes.
+
+
+@query(sql_knn("l2", "label < 5"))
+def ivf_pq_filtered(spark, d):
+    i = Index(spark, d)
+    return result(ivf.search_pq(i.points, i.queries, i.centroids, i.codes(), i.codebook, PARTS, K, LISTS, None, allowed=i.points.where("label < 5").select("id")))
+
+
+@query(sql_knn("cosine", "label < 5"))
+def ivf_sq8_filtered(spark, d):
+    i = Index(spark, d)
+    params = train.sq8_fit(i.residuals)
+    return result(ivf.search_sq8(i.points, i.queries, i.centroids, train.sq8_encode(i.residuals, params), params, K, LISTS, None, "cosine", i.points.where("label < 5").select("id")))
+
+
+@query(sql_knn("ip", "label < 5"))
+def ivf_rabitq_filtered(spark, d):
+    i = Index(spark, d)
+    return result(ivf.search_rabitq(i.points, i.queries, i.centroids, train.rabitq_encode(i.residuals, i.points), K, LISTS, None, "ip", i.points.where("label < 5").select("id")))
+
+
+@query()
+def fp16_filtered(spark, d):
+    rows = points(spark, d)
+    return result(knn.search_fp16(rows, asked(rows), K, allowed=rows.where("label < 5").select("id")))
+
+
+@query()
+def cagra_filtered(spark, d):
+    rows = points(spark, d)
+    return result(graph.search(graph.build(rows, "cagra", 16, 100), asked(rows), K, 64, kind="cagra", allowed=rows.where("label < 5").select("id")))
+
+
+@query(sql_knn("l2", "id % 3 <> 0 AND label < 7"))
+def indexed_search(spark, d):
+    """A collection with a stored inverted file: a third of the points deleted, some of the rest added later, a payload filter."""
+    rows = points(spark, d)
+    early = rows.where("id % 5 <> 1")
+    ix = indexed.build(early, "l2", ["ivf_sq8"], lists=8)
+    late = rows.where("id % 5 = 1")
+    ix = indexed.upsert(ix, late.withColumn("seq", F.col("id") + 10_000_000))
+    ix, _ = indexed.delete(ix, rows.where("id % 3 = 0").select("id"))
+    return result(indexed.search(ix, asked(rows), K, "ivf-sq8", {"label": {"$lt": 7}}, nprobe=8, rerank_k=None))
 
 
 @query()
@@ -510,7 +556,7 @@ def sharded_merge(spark, d):
 @query(f"WITH {PTS}, u AS (SELECT query_id, id, {SQL_DISTANCE['l2']} + label AS distance FROM q, pts UNION ALL SELECT query_id, id, {SQL_DISTANCE['l2']} FROM q, pts WHERE id % 2 = 0), d AS (SELECT query_id, id, min(distance) AS distance FROM u GROUP BY query_id, id) {sql_top('d')}")
 def merge_topk_dedup(spark, d):
     rows = points(spark, d)
-    pair = rows.join(F.broadcast(asked(rows))).select("query_id", "id", "label", distance("l2", F.col("q"), F.col("embedding")).alias("distance"))
+    pair = knn.in_blocks(asked(rows), lambda q: rows.join(F.broadcast(q)).select("query_id", "id", "label", distance("l2", F.col("q"), F.col("embedding")).alias("distance")))
     one = pair.select("query_id", "id", (F.col("distance") + F.col("label")).alias("distance"))
     return result(knn.merge_topk(one.unionByName(pair.where("id % 2 = 0").select("query_id", "id", "distance")), K))
 
