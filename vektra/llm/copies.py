@@ -137,7 +137,7 @@ def neighbours(met: DataFrame) -> DataFrame:
 
 
 def apart(met: DataFrame, comp: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
-    """Pairs ``(a, b)`` that meet in a shingle, may be as similar as ``near`` and lie in different components.
+    """Pairs ``(a, b, times)`` that meet in shingles, so many, may be as similar as ``near`` and lie in different components.
 
     ``met``: what ``meeting`` gives; ``comp``: ``(node, component)`` of what is linked
     already. In a shingle where nearly all sets lie in one component, only the others
@@ -150,4 +150,4 @@ def apart(met: DataFrame, comp: DataFrame, near: tuple[int, int] = NEAR) -> Data
     left = left.where("c1 <> big").drop("big")
     once = (F.col("c2") == F.col("big")) | (F.col("key1") < F.col("key2"))
     pairs = left.join(right, "s").where((F.col("c1") != F.col("c2")) & once & _may_be_near(near, "1", "2"))
-    return pairs.select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b")).distinct()
+    return pairs.select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))

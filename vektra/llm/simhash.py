@@ -326,7 +326,15 @@ def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     comp = cut(components(links))
     rest = cut(copies.apart(met, comp, near))
     if not rest.isEmpty():
-        more = cut(copies.verified(rest, sets.union(sets_of(rest, sets)), near))
+        # Again one partner for each set first; what that does not connect is verified pair by pair.
+        sets = sets.union(sets_of(rest, sets))
+        best = cut(rest.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"))
+        links = cut(links.union(copies.verified(best, sets, near)))
+        comp = cut(components(links))
+        left = rest.select("a", "b").join(best, ["a", "b"], "left_anti")
+        for c in ("a", "b"):
+            left = left.join(comp.select(F.col("node").alias(c), F.col("component").alias("of_" + c)), c, "left")
+        more = cut(copies.verified(left.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), sets, near))
         if not more.isEmpty():
             comp = components(links.union(more))
     return rows.join(comp.withColumnRenamed("node", "key"), "key", "left").select("id", "hash", F.coalesce("component", "key").alias("group"))
