@@ -151,6 +151,23 @@ def test_near_copies_equal_brute_force(spark):
     assert simhash.survivors(clashing, near=copies.NEAR).columns == clashing.columns
 
 
+def test_counts_rule_out_no_similar_pair(spark):
+    """Pairs at the similarity itself stay, also where counts are saturated; unlike ones go."""
+    rng = np.random.default_rng(5)
+    sets, pairs = [], []
+    for n in (1, 9, 90, 900, 90_000):
+        base = np.unique(rng.integers(0, 1 << 63, 2 * n).astype(np.uint64))
+        out = n // 9  # two sets that each lack so many of the other's: 8 of 10 shingles are shared
+        sets += [base[:n], np.append(base[out:n], base[n : n + out]), base[n:]]
+        pairs += [(len(sets) - 3, len(sets) - 2, n), (len(sets) - 3, len(sets) - 1, n)]
+    sets.append(np.empty(0, np.uint64))
+    nodes = spark.createDataFrame([(k, len(v), bytearray(copies.counts(v))) for k, v in enumerate(sets)], "key long, n long, counts binary")
+    kept = {tuple(r) for r in copies.likely(spark.createDataFrame(pairs, "a long, b long, times long"), nodes).collect()}
+    assert kept >= set(pairs[::2])
+    assert not kept & set(pairs[1:8:2])
+    assert copies.likely(spark.createDataFrame([], "a long, b long, times long"), nodes).count() == 0
+
+
 def test_sets_meet_wherever_tasks_end(spark):
     """Every shared prefix shingle of two sets is kept, and neighbours but those over a task's border are paired."""
     rng = np.random.default_rng(1)

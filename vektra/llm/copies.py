@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 SEED = 42
 #: Words of a shingle, and the least similarity as a fraction.
 WIDTH, NEAR = 5, (4, 5)
+#: Places of a set's counts, see ``counts``.
+PLACES = 256
 #: Rows whose shingles are counted to tell frequent ones, and bounds of what counts as frequent. Any order is right; this one is fast.
 SAMPLE, OFTEN, MOST_OFTEN = 10_000, 3, 200_000
 
@@ -45,6 +47,11 @@ def prefix(found: np.ndarray, often: np.ndarray, times: np.ndarray, near: tuple[
     return found[np.lexsort((found, rank))][: n - -(-near[0] * n // near[1]) + 1]
 
 
+def counts(found: np.ndarray) -> bytes:
+    """How many shingles of a set have each of the low bytes of a hash, 255 standing for more too."""
+    return np.minimum(np.bincount((found % np.uint64(PLACES)).astype(np.int64), minlength=PLACES), 255).astype(np.uint8).tobytes()
+
+
 def frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles of a bounded sample of rows ``(text, hash)``, ascending, and how often each is there."""
     one_in = max(1, texts.count() // SAMPLE)
@@ -61,6 +68,30 @@ def frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return often[order], rows["count"].to_numpy(np.int64)[order]
 
 
+def likely(pairs: DataFrame, nodes: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
+    """Those of the pairs ``(a, b, ...)`` whose ``counts`` do not rule out that their sets are similar enough.
+
+    A shingle that only one set has changes one count by one, so the counts' Manhattan
+    distance is at most the sets' difference: no similar pair is lost, and whole sets
+    travel for few others. ``nodes``: ``(key, n, counts)``, one row per key.
+    """
+    up, down = near
+    names = pairs.columns
+    one, two = (nodes.select(F.col("key").alias(c), F.col("n").alias("n" + c), F.col("counts").alias("c" + c)) for c in "ab")
+    both = pairs.join(one, "a").join(two, "b").select(*names, "na", "nb", "ca", "cb")
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PLACES).astype(np.int16) for c in ("ca", "cb"))
+            apart_by = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            yield batch.select(names).filter(pa.array(apart_by * (up + down) <= total * (down - up)))
+
+    return both.mapInArrow(run, pairs.schema)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
     """Those of the pairs ``(a, b)`` whose whole sets ``(key, set)`` are similar enough."""
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")

@@ -277,8 +277,9 @@ def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     ``hash`` is one of the text as it is. Equal sets are one node from the start. Links
     within RADIUS bits of the fingerprints, and of neighbours in a shared prefix shingle,
     are verified on whole sets first, for each set that with the one it shares most
-    with; then what meets in a prefix shingle and still lies in different groups is. So no similar pair is missed, and a large group does not
-    cost all its pairs. Null and empty texts have the empty set.
+    with; then what meets in a prefix shingle and still lies in different groups is.
+    Pairs that the counts of their shingles rule out need no sets. So no similar pair is
+    missed, and a large group does not cost all its pairs. Null and empty texts have the empty set.
     """
     text = named(text_col).cast("string")
     mine = docs.select(named(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
@@ -286,7 +287,7 @@ def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
 
     def run(batches):
         for batch in batches:
-            keys, sizes, fps, firsts = [], [], [], []
+            keys, sizes, fps, firsts, counted = [], [], [], [], []
             for t in batch.column(2):
                 raw = copies.hashes(t.as_py(), width)
                 found = np.unique(raw)
@@ -295,11 +296,13 @@ def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
                 sizes.append(len(found))
                 fps.append(_majority(ones, len(raw)))
                 firsts.append(copies.prefix(found, *shared.value, near).view(np.int64))
+                counted.append(copies.counts(found))
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(keys), pa.array(sizes, pa.int64()), signed(fps), pa.array(firsts, pa.list_(pa.int64()))], names=["id", "hash", "key", "n", "fp", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(keys), pa.array(sizes, pa.int64()), signed(fps), pa.array(firsts, pa.list_(pa.int64())), pa.array(counted, pa.binary())], names=["id", "hash", "key", "n", "fp", "first", "counts"])
 
-    rows = cut(mine.mapInArrow(run, "id long, hash long, key long, n long, fp long, first array<long>"))
+    rows = cut(mine.mapInArrow(run, "id long, hash long, key long, n long, fp long, first array<long>, counts binary"))
     nodes = rows.dropDuplicates(["key"]).select("key", "n", "fp", "first")
+    counted = rows.dropDuplicates(["key"]).select("key", "n", "counts")
     prints = cut(nodes.groupBy("fp").agg(F.min("key").alias("node")))
     met = cut(copies.meeting(nodes, near))
     equal = nodes.select("key", "fp").join(prints, "fp").where("key <> node").select(F.col("key").alias("a"), F.col("node").alias("b"))
@@ -320,11 +323,12 @@ def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
         return cut((texts.dropDuplicates(["key"]) if repeats else texts).mapInArrow(whole, "key long, set binary"))
 
     sure = near_links(prints, chunk=chunk).union(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1 << 40).alias("times"))
-    close = cut(copies.neighbours(met).union(sure).groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"))
+    close = copies.neighbours(met).union(sure).groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
+    close = cut(copies.likely(close, counted, near))
     sets = sets_of(close)
     links = cut(copies.verified(close, sets, near))
     comp = cut(components(links))
-    rest = cut(copies.apart(met, comp, near))
+    rest = cut(copies.likely(copies.apart(met, comp, near), counted, near))
     if not rest.isEmpty():
         # Again one partner for each set first; what that does not connect is verified pair by pair.
         sets = sets.union(sets_of(rest, sets))
