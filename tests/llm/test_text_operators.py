@@ -188,11 +188,12 @@ def test_sets_meet_wherever_tasks_end(spark):
         assert pairs <= every and len(pairs) >= len(every) - n
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_of_a_chain(spark, one_task):
     n = 200
     order = np.random.default_rng(2).permutation(n)
     links = spark.createDataFrame([(int(order[i]), int(order[i + 1])) for i in range(n - 1)] + [(500, 501), (501, 501)], "a long, b long")
-    got = {r.node: r.component for r in components(links).collect()}
+    got = {r.node: r.component for r in components(links, one_task=one_task).collect()}
     assert got == {**{i: 0 for i in range(n)}, 500: 500, 501: 500}
 
 

@@ -19,8 +19,9 @@ SEED = 42
 WIDTH, NEAR = 5, (4, 5)
 #: Places of a set's counts, see ``counts``.
 PLACES = 256
-#: Rows whose shingles are counted to tell frequent ones, and bounds of what counts as frequent. Any order is right; this one is fast.
-SAMPLE, OFTEN, MOST_OFTEN = 10_000, 3, 200_000
+#: Of so many rows one has its shingles counted to tell frequent ones, and bounds of what counts as
+#: frequent. Any order is right, this one is fast; a share, so that it is as good for any number of rows.
+ONE_IN, OFTEN, MOST_OFTEN = 4, 3, 500_000
 
 
 def hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -53,15 +54,13 @@ def counts(found: np.ndarray) -> bytes:
 
 
 def frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles of a bounded sample of rows ``(text, hash)``, ascending, and how often each is there."""
-    one_in = max(1, texts.count() // SAMPLE)
-
+    """Frequent shingles of a sample of rows ``(text, hash)``, ascending, and how often each is there."""
     def run(batches):
         for batch in batches:
             for t in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes(t.as_py(), width)).view(np.int64))], names=["s"])
 
-    some = texts.where(F.pmod("hash", F.lit(one_in)) == 0).select("text").mapInArrow(run, "s long")
+    some = texts.where(F.pmod("hash", F.lit(ONE_IN)) == 0).select("text").mapInArrow(run, "s long")
     rows = some.groupBy("s").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "s").limit(MOST_OFTEN).toPandas()
     often = rows["s"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(often)

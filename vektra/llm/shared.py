@@ -120,29 +120,37 @@ def _with_least(side: DataFrame, least: DataFrame, hub: int | None) -> DataFrame
     return left.hint("merge").join(right.hint("merge"), ["u", "_p"])
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+#: Links that one task contracts on its own, without an exchange; more are dealt out.
+ONE_TASK = 200_000
+
+
+def components(links: DataFrame, rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """Connected components of ``(a, b)`` links: ``(node, component)``, the smallest node reachable.
 
     Alternates large-star and small-star contraction, each an aggregate of the
     smallest neighbour and a join back, until nothing changes. Links stay
     distributed and each round is cut in the shared checkpoint folder, so a lost
     executor costs one round. The links of a node with very many are dealt out.
-    Nodes with no link have no row.
+    Up to ``one_task`` links lie in one partition, whose rounds are one task each, so
+    the driver need not plan and keep track of many small ones. Nodes with no link have no row.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     size = edges.count()
     if not size:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    small = size <= one_task  # rounds never add links
+    edges = edges.coalesce(1) if small else edges
     seen = None
     for _ in range(rounds):
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
         hub = max(1024, size // 4096)  # 2 * size rows have 8192 hubs at most
-        hub = None if least.where(F.col("n") > hub).isEmpty() else hub
+        hub = None if small or least.where(F.col("n") > hub).isEmpty() else hub
         large = _with_least(both.where("v > u"), least, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = _with_least(large, low, hub).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        # Each node's links, and the node itself, go to its smallest neighbour.
+        stars = _with_least(large, low, hub).select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))))).where("u <> v")
+        edges = cut(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
