@@ -139,9 +139,9 @@ def components(links: DataFrame, rounds: int = 60, one_task: int = ONE_TASK) ->
     if not size:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     small = size <= one_task  # rounds never add links
-    edges = edges.coalesce(1) if small else edges
     seen = None
     for _ in range(rounds):
+        edges = edges.coalesce(1) if small else edges  # said again each round, as a cut forgets it
         both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
         hub = max(1024, size // 4096)  # 2 * size rows have 8192 hubs at most
