@@ -420,6 +420,34 @@ def test_windows_cover_all_words_and_flushing_changes_nothing():
     assert np.allclose(toxicity.Scorer(p).score(texts), toxicity.Scorer(p, kept=10).score(texts), atol=1e-5)
 
 
+def test_toxicity_holds_few_texts_of_a_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    p = toxicity.fresh()
+    texts = [f"{'some words ' * 600}{i}" for i in range(3000)]
+    texts[5], texts[6], texts[2900] = None, "", "x y " * 2_000
+    batch = pa.array(texts)
+    expected = toxicity.Scorer(p).score(texts[:40] + texts[2880:2920])
+    tracemalloc.start()
+    (got,) = toxicity.scores(iter([batch]), p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got.to_numpy()[[*range(40), *range(2880, 2920)]], expected, atol=1e-6)
+    assert len(got) == 3000 and got.null_count == 0
+    # All texts as Python objects would be 20 MB more than what windows take.
+    assert peak - toxicity.Scorer(p).table.nbytes < 33e6
+    assert [a.to_pylist() for a in toxicity.scores(iter([pa.array([], pa.string())]), p)] == [[]]
+
+
+def test_toxicity_table_is_not_copied_as_words_come():
+    scorer = toxicity.Scorer(toxicity.fresh(), kept=50_000)
+    table = scorer.table
+    scorer.score([" ".join(f"w{i}" for i in range(at, at + 3000)) for at in range(0, 60_000, 3000)])
+    assert scorer.table is table
+
+
 # URLs.
 
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"))

@@ -13,11 +13,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import labelled
+from .shared import give_back, labelled, parts
 
 #: Bounds of what is learnt from: labelled rows of each class, and characters of one.
 PER_CLASS, MOST_CHARS = 4000, 20_000
@@ -133,11 +133,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     """
     rows = labelled(docs, labels, label, per_class, id_col, text_col, most_chars)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"x": [statistics(t) for t in pdf["text"]], "label": pdf["label"]})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [statistics(t) for part in parts(batch.column(0)) for t in part]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
 
-    got = rows.mapInPandas(count, "x array<double>, label int").toPandas()
+    got = rows.mapInArrow(count, "x array<double>, label int").toPandas()
     x = np.array(got["x"].tolist()).reshape(-1, len(STATISTICS))
     y = got["label"].to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # rows come in any order; the forest shall not depend on it
@@ -147,11 +148,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 def score(text: Column, model: Forest) -> Column:
     """Score (0 to 1) of each whole text; null and empty texts have one too."""
 
-    @F.pandas_udf("double")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            x = np.array([statistics(t) for t in part]).reshape(-1, len(STATISTICS))
-            yield pd.Series(model.score(x))
+    @F.arrow_udf("double")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            x = np.array([statistics(t) for part in parts(batch) for t in part]).reshape(-1, len(STATISTICS))
+            yield pa.array(model.score(x))
+        batch = x = None
+        give_back()
 
     return run(text.cast("string"))
 

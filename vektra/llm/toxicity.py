@@ -12,11 +12,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import labelled
+from .shared import give_back, labelled, parts
 
 #: Bounds of what is learnt from: labelled rows of each class, and characters of one.
 PER_CLASS, MOST_CHARS = 1200, 12_000
@@ -287,13 +287,15 @@ class Scorer:
     def __init__(self, p: dict, kept: int = KEPT):
         self.p, self.kept = p, kept
         self.rows: dict[str, int] = {}
-        self.table = np.zeros((1024, 6 * HIDDEN), np.float32)
+        # One table for all words that are kept: memory is taken as rows are written, and none is copied.
+        self.table = np.empty((kept + 20_000, 6 * HIDDEN), np.float32)
+        self.table[0] = 0
 
     def _learn(self, words: list[str]) -> None:
         first = len(self.rows) + 1  # row 0 is padding
         need = first + len(words)
         if need > len(self.table):
-            self.table = np.concatenate([self.table[:first], np.empty((max(need, 2 * len(self.table)) - first, 6 * HIDDEN), np.float32)])
+            self.table = np.concatenate([self.table[:first], np.empty((max(need, len(self.table) * 5 // 4) - first, 6 * HIDDEN), np.float32)])
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
             self.table[first + at : first + at + len(part)] = project(self.p, inputs(part))
@@ -357,14 +359,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     return fit(got["text"].tolist(), got["label"].to_numpy().astype(int), **options)
 
 
+def scores(batches: Iterator[pa.Array], model: dict) -> Iterator[pa.Array]:
+    """Scores of the texts of each Arrow array, few of them Python objects at a time.
+
+    Python workers live on and serve later stages, so what was taken is given back.
+    """
+    scorer = Scorer(model)
+    for batch in batches:
+        yield pa.array(np.concatenate([scorer.score(part) for part in parts(batch)] or [np.empty(0)]))
+    batch = scorer = None
+    give_back()
+
+
 def score(text: Column, model: dict) -> Column:
     """Score (0 to 1) of each whole text; null and empty texts have one too."""
 
-    @F.pandas_udf("double")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(model)
-        for part in texts:
-            yield pd.Series(scorer.score(part.tolist()), dtype="float64")
+    @F.arrow_udf("double")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return scores(texts, model)
 
     return run(text.cast("string"))
 
