@@ -644,3 +644,28 @@ def test_base_digest_of_no_spans(spark):
     model = [0.0] * len(secrets.ALPHABET) ** 2
     row = secrets.scan(docs(spark, [(1, "nothing here")]), model).select(F.sha2(secrets.written(F.col("base")), 256).alias("h")).first()
     assert row.h == hashlib.sha256(b"").hexdigest()
+
+
+def test_near_copies_hang_together_before_their_pairs_are_listed(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(160):  # variants of one text, of which some pairs are near and others not
+        words = list(base)
+        for j in rng.choice(300, int(rng.integers(1, 5)), replace=False):
+            words[j] = f"v{i}x{j}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"u{i}x{j}" for j in range(40)) for i in range(20)]
+    listed, apart = [], copies.apart
+    monkeypatch.setattr(copies, "apart", lambda *a: (listed.append(got := apart(*a).cache()), got)[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["group"] for r in simhash.alike(docs).collect()}
+    sets = [set(copies.hashes(t).tolist()) for t in texts]
+    of = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]) and of[i] != of[j]:
+                of = [of[j] if v == of[i] else v for v in of]
+    ours = {frozenset(i for i in got if got[i] == g) for g in got.values()}
+    assert ours == {frozenset(i for i, v in enumerate(of) if v == g) for g in of}
+    assert sum(f.count() for f in listed) <= 4 * len(texts)

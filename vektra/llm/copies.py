@@ -13,6 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SEED = 42
 #: Words of a shingle, and the least similarity as a fraction.
@@ -22,6 +23,8 @@ PLACES = 256
 #: Of so many rows one has its shingles counted to tell frequent ones, and bounds of what counts as
 #: frequent. Any order is right, this one is fast; a share, so that it is as good for any number of rows.
 ONE_IN, OFTEN, MOST_OFTEN = 4, 3, 500_000
+#: Sets in a prefix shingle from which ``strangers`` connects them before ``apart`` pairs them, and how often it tries.
+CROWD, TURNS = 16, 4
 
 
 def hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -67,12 +70,13 @@ def frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return often[order], rows["count"].to_numpy(np.int64)[order]
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
+def likely(pairs: DataFrame, nodes: DataFrame, near: tuple[int, int] = NEAR, off: str | None = None) -> DataFrame:
     """Those of the pairs ``(a, b, ...)`` whose ``counts`` do not rule out that their sets are similar enough.
 
     A shingle that only one set has changes one count by one, so the counts' Manhattan
     distance is at most the sets' difference: no similar pair is lost, and whole sets
-    travel for few others. ``nodes``: ``(key, n, counts)``, one row per key.
+    travel for few others. ``nodes``: ``(key, n, counts)``, one row per key. ``off`` names
+    a column more: that distance as a share of both sizes, least for the likeliest.
     """
     up, down = near
     names = pairs.columns
@@ -86,9 +90,12 @@ def likely(pairs: DataFrame, nodes: DataFrame, near: tuple[int, int] = NEAR) ->
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PLACES).astype(np.int16) for c in ("ca", "cb"))
             apart_by = np.abs(x - y).sum(axis=1, dtype=np.int64)
             total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            yield batch.select(names).filter(pa.array(apart_by * (up + down) <= total * (down - up)))
+            out = batch.select(names)
+            if off:
+                out = pa.RecordBatch.from_arrays([*out.columns, pa.array(apart_by / np.maximum(total, 1))], names=[*names, off])
+            yield out.filter(pa.array(apart_by * (up + down) <= total * (down - up)))
 
-    return both.mapInArrow(run, pairs.schema)
+    return both.mapInArrow(run, StructType([*pairs.schema.fields]).add(off, "double") if off else pairs.schema)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
@@ -166,6 +173,39 @@ def neighbours(met: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
 
 
+def crowded(met: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """The rows of ``met`` in shingles of over ``crowd`` sets."""
+    return met.join(met.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > crowd).select("s"), "s").select("s", "n", "at", "key")
+
+
+def strangers(met: DataFrame, comp: DataFrame, turn: int, near: tuple[int, int] = NEAR) -> DataFrame:
+    """Pairs ``(a, b)`` of sets of different components that come after each other in a shingle, in an order that ``turn`` draws, and may be similar.
+
+    At most one pair for a row of ``met``. In a group of near copies each set meets others
+    in each of its shingles, so the likeliest of them soon connect the group.
+    """
+    placed = met.join(comp, F.col("key") == F.col("node"), "left").select("s", "n", "at", "key", F.coalesce("component", "key").alias("c"))
+    drawn = placed.withColumn("h", F.xxhash64("s", "key", F.lit(turn)))
+    up, down = near
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [x.to_numpy() for x in batch.columns]
+            if held is not None:
+                columns = [np.concatenate([h, x]) for h, x in zip(held, columns)]
+            held = [x[-1:] for x in columns]
+            (s0, n0, at0, key0, c0), (s, n, at, key, c) = ([x[cut] for x in columns] for cut in (slice(None, -1), slice(1, None)))
+            fits = (np.minimum(n - at, n0 - at0) * (up + down) >= (n + n0) * up) & (np.minimum(n, n0) * down >= np.maximum(n, n0) * up)
+            pair = pa.RecordBatch.from_arrays([pa.array(np.minimum(key, key0)), pa.array(np.maximum(key, key0))], names=["a", "b"])
+            yield pair.filter(pa.array((s == s0) & (c != c0) & fits))
+
+    dealt = drawn.repartitionByRange("s", "h").sortWithinPartitions("s", "h").select("s", "n", "at", "key", "c")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def apart(met: DataFrame, comp: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
     """Pairs ``(a, b, times)`` that meet in shingles, so many, may be as similar as ``near`` and lie in different components.
 

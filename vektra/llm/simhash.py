@@ -277,7 +277,8 @@ def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     ``hash`` is one of the text as it is. Equal sets are one node from the start. Links
     within RADIUS bits of the fingerprints, and of neighbours in a shared prefix shingle,
     are verified on whole sets first, for each set that with the one it shares most
-    with; then what meets in a prefix shingle and still lies in different groups is.
+    with; in shingles of many sets each set's likeliest partners of other groups follow, some
+    at a time; then what meets in a prefix shingle and still lies in different groups is.
     Pairs that the counts of their shingles rule out need no sets. So no similar pair is
     missed, and a large group does not cost all its pairs. Null and empty texts have the empty set.
     """
@@ -328,12 +329,25 @@ def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     sets = sets_of(close)
     links = cut(copies.verified(close, sets, near))
     comp = cut(components(links))
+    crowd = cut(copies.crowded(met))
+    for turn in range(0 if crowd.isEmpty() else copies.TURNS):
+        # Each set's likeliest partner elsewhere, so that a large group hangs together before its pairs are listed.
+        some = copies.likely(copies.strangers(crowd, comp, turn, near), counted, near, "off")
+        each = some.select(F.inline(F.array(*[F.struct(F.col(c).alias("x"), F.struct("off", "a", "b").alias("p")) for c in "ab"])))
+        best = cut(each.groupBy("x").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct())
+        if best.isEmpty():
+            break
+        sets = sets.union(sets_of(best, sets))
+        more = cut(copies.verified(best, sets, near))
+        if more.isEmpty():
+            break
+        comp = cut(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
     rest = cut(copies.likely(copies.apart(met, comp, near), counted, near))
     if not rest.isEmpty():
         # Again one partner for each set first; what that does not connect is verified pair by pair.
         sets = sets.union(sets_of(rest, sets))
         best = cut(rest.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b"))
-        links = cut(links.union(copies.verified(best, sets, near)))
+        links = cut(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(copies.verified(best, sets, near)))
         comp = cut(components(links))
         left = rest.select("a", "b").join(best, ["a", "b"], "left_anti")
         for c in ("a", "b"):
