@@ -197,6 +197,29 @@ def test_components_of_a_chain(spark, one_task):
     assert got == {**{i: 0 for i in range(n)}, 500: 500, 501: 500}
 
 
+def test_small_components_take_few_jobs(spark):
+    """A long chain in few links is contracted in one go, as the driver keeps what it knows of every job."""
+    links = spark.range(2000).select(F.pmod(F.col("id") * 7, F.lit(2003)).alias("a"), F.pmod(F.col("id") * 7 + 7, F.lit(2003)).alias("b"))
+    sc = spark.sparkContext
+    sc.setJobGroup("small components", "small components")
+    try:
+        got = components(links)
+        assert len(sc.statusTracker().getJobIdsForGroup("small components")) <= 6
+    finally:
+        sc._jsc.clearJobGroup()
+    want = {i * 7 % 2003 for i in range(2001)}
+    assert {r.node: r.component for r in got.collect()} == dict.fromkeys(want, min(want))
+
+
+def test_frequent_shingles_reach_the_driver_as_columns(spark, monkeypatch):
+    texts = spark.createDataFrame([(f"a b c d e f{i % 2} g{i}", 0) for i in range(9)], "text string, hash long")
+    monkeypatch.setattr(type(texts), "toPandas", lambda self: pytest.fail("a Python object for each row"))
+    often, times = copies.frequent(texts, 5)
+    want = {int(copies.hashes("a b c d e")[0]): 9, int(copies.hashes("b c d e f0")[0]): 5, int(copies.hashes("b c d e f1")[0]): 4}
+    assert dict(zip(often.tolist(), times.tolist())) == want and often.tolist() == sorted(want)
+    assert [x.tolist() for x in copies.frequent(texts.where("false"), 5)] == [[], []]
+
+
 # Secrets.
 
 

@@ -64,10 +64,10 @@ def frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes(t.as_py(), width)).view(np.int64))], names=["s"])
 
     some = texts.where(F.pmod("hash", F.lit(ONE_IN)) == 0).select("text").mapInArrow(run, "s long")
-    rows = some.groupBy("s").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "s").limit(MOST_OFTEN).toPandas()
-    often = rows["s"].to_numpy(np.int64).view(np.uint64)
+    rows = some.groupBy("s").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "s").limit(MOST_OFTEN).toArrow()
+    often = rows.column("s").to_numpy().view(np.uint64)
     order = np.argsort(often)
-    return often[order], rows["count"].to_numpy(np.int64)[order]
+    return often[order], rows.column("count").to_numpy()[order]
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, near: tuple[int, int] = NEAR, off: str | None = None) -> DataFrame:
