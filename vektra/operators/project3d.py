@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,16 +66,29 @@ def fuzzy_edges(points: DataFrame, k: int = 15, least: float = 1e-3) -> DataFram
     A point's spread is found by 24 bisections so that its memberships sum to log2 k.
     """
 
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf["distance"].to_numpy()
-        near, low, high, s = d.min(), 0.0, np.inf, 1.0
-        for _ in range(24):
-            total = np.exp(-np.maximum(d - near, 0) / s).sum()
-            low, high = (low, s) if total > np.log2(max(k, 2)) else (s, high)
-            s = (low + high) / 2 if np.isfinite(high) else s * 2
-        return pdf.assign(w=np.exp(-np.maximum(d - near, 0) / max(s, 1e-9)))[["id", "neighbour", "w"]]
-
-    one_way = knn_graph(points, k).groupBy("id").applyInPandas(smooth, "id long, neighbour long, w double")
+    def smooth(batches):
+        """Each row is a point with the lists of its neighbours and distances; all of a batch are bisected at once."""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat = np.asarray(b.column(2).flatten(), np.float64)
+            size = np.diff(np.append(b.column(2).offsets.to_numpy()[: b.num_rows] - b.column(2).offsets[0].as_py(), len(flat)))
+            place = np.arange(size.max()) < size[:, None]
+            d = np.full(place.shape, np.inf)
+            d[place] = flat
+            near = d.min(1)
+            low, high, s = np.zeros(len(d)), np.full(len(d), np.inf), np.ones(len(d))
+            for _ in range(24):
+                total = np.exp(-np.maximum(d - near[:, None], 0) / s[:, None]).sum(1)
+                more = total > np.log2(max(k, 2))
+                low, high = np.where(more, low, s), np.where(more, s, high)
+                s = np.where(np.isfinite(high), (low + high) / 2, s * 2)
+            w = np.exp(-np.maximum(d - near[:, None], 0) / np.maximum(s, 1e-9)[:, None])[place]
+            ids = np.repeat(b.column(0).to_numpy(), size)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), b.column(1).flatten(), pa.array(w)], names=["id", "neighbour", "w"])
+
+    lists = knn_graph(points, k).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour", "distance"))).alias("n"))
+    one_way = lists.select("id", F.col("n.neighbour").alias("neighbours"), F.col("n.distance").alias("distances")).mapInArrow(smooth, "id long, neighbour long, w double")
     pair = one_way.select(F.least("id", "neighbour").alias("a"), F.greatest("id", "neighbour").alias("b"), "w")
     joined = pair.groupBy("a", "b").agg((F.sum("w") - F.when(F.count(F.lit(1)) > 1, F.product("w")).otherwise(0.0)).alias("weight"))
     return joined.where(F.col("weight") > least)
