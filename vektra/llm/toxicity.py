@@ -351,12 +351,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     """Parameters from a bounded sample of labelled rows, ``per_class`` of each label at most.
 
     Rows that are held out (see shared.held_out) are never learnt from. The driver
-    gets at most ``2 * per_class * most_chars`` characters.
+    gets at most ``2 * per_class * most_chars`` characters, and gives the memory of
+    the training back to the system, as the driver lives on for later stages.
     """
     got = labelled(docs, labels, label, per_class, id_col, text_col, most_chars).toPandas()
     got["text"] = got["text"].fillna("")
     got = got.sort_values(["label", "text"])
-    return fit(got["text"].tolist(), got["label"].to_numpy().astype(int), **options)
+    model = fit(got["text"].tolist(), got["label"].to_numpy().astype(int), **options)
+    del got
+    give_back()
+    return model
 
 
 def scores(batches: Iterator[pa.Array], model: dict) -> Iterator[pa.Array]:
